@@ -52,11 +52,18 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
     executor costs only a new read. The files go when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")  # shuffle files of this write go when it has ended
@@ -64,7 +71,6 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

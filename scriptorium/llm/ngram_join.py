@@ -24,7 +24,8 @@ texts again and compares 64-bit hashes of their runs.
 
 Nulls and ties: a null doc_id takes part with its text and its component is the least
 known doc_id there; repeated rows come back as often as they are given; no text or no
-words: ``n_shingles`` 0 and the document's own id. Further columns are ignored.
+words: ``n_shingles`` 0 and the document's own id. Further columns are ignored by the join
+and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -172,8 +173,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(go, "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row of ``docs``: doc_id, row (a hash of doc_id and text), size (of its set), class
+    (a number of its component; null where the set is empty)."""
     prepare(docs.sparkSession)
     bands = Bands(num, den)
     rows = settle(profile(docs, n, bands), "profile")
@@ -216,11 +218,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     more = settle(verify(settle(cross.join(done, ["a", "b"], "left_anti"), "cross"), texts, n, num, den), "links")
     roots = components(links.union(more))
 
-    named = rows.select("doc_id", "node", "size").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    return rows.select("doc_id", "row", "node", "size").join(roots, "node", "left").select("doc_id", "row", "size", F.coalesce("root", "node").alias("class"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    named = settle(classes(docs, n, num, den), "classes")
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce(F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col("doc_id")), "doc_id").alias("component_id")
-    )
+    return named.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,10 +236,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` without the documents that another of their component stands for: the one
-    with the least doc_id stays (once, if that row is repeated); rows without a doc_id
-    or without words stay as they are."""
-    kept = ngram_jaccard_join(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    unknown = docs.where("doc_id is null")
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(unknown)
+    """``docs`` with one row of each component: that with the least doc_id (rows without one
+    come last; further ties go to the smaller hash of the row). Rows without words stay."""
+    named = settle(classes(docs, n, num, den), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    kept = named.where("class is not null").groupBy("class").agg(first).select(F.col("first.row").alias("__row")).distinct()
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    one = keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi")
+    empty = named.where("class is null").select(F.col("row").alias("__row")).distinct()
+    return one.unionByName(keyed.join(empty, "__row", "left_semi")).select(*docs.columns)

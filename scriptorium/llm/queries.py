@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, ngram_join, packing, quality, secrets, toxicity
-from .common import read
+from . import chat, decontaminate, licenses, metric_search, ngram_join, packing, quality, secrets, shards, toxicity
+from .common import read, scratch
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.size_tiered_compaction(read(spark, sf_dir, "documents"), scratch(spark, "store"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +54,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sharding,
+        op2_exact_topk,
         op3_toxicity,
         op4_chat_formatting,
         op5_best_fit_packing,
@@ -55,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op6_license_scans": licenses.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": metric_search.ORACLE,
+    "op4_chat_formatting": chat.ORACLE,
+    "op6_license_scans": licenses.ORACLE,
+}

@@ -130,13 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_docs: int
     return w, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -> DataFrame:
-    """``docs`` with a column ``score``: every row, whole texts."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, name: str = "score") -> DataFrame:
+    """``docs`` with a new column ``name``: every row, whole texts."""
     w, bias = model
     keep = np.flatnonzero(w).astype(np.int32)
     sent = docs.sparkSession.sparkContext.broadcast((keep, w[keep], bias))
     cols = docs.columns
-    out = docs.withColumn("score", F.lit(0.0)).schema
+    out = docs.withColumn(name, F.lit(0.0)).schema
 
     def go(batches):
         i, v, b0 = sent.value
@@ -145,11 +145,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) ->
         for b in batches:
             s = np.array([table[x].sum(dtype=np.float64) for x in feature_sets(b["text"], bits)]) + b0
             s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*cols, name])
 
     return docs.mapInArrow(go, out)
 
 
+def clean(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows predicted to be toxic; columns stay."""
+    own = "__toxicity"
+    while own in docs.columns:
+        own += "_"
+    scored = score(docs, train(docs, labels, bits, sample_docs), bits, own)
+    return scored.where(F.col(own) < threshold).select(*docs.columns)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted."""
     model = train(docs, labels, bits, sample_docs)
