@@ -1,0 +1,6 @@
+"""Registered queries and the SQL that checks them."""
+
+from . import library, retrieval, study
+
+QUERIES = {**retrieval.QUERIES, **study.QUERIES, **library.QUERIES}
+ORACLES = {**retrieval.ORACLES, **study.ORACLES, **library.ORACLES}
