@@ -245,3 +245,16 @@ def keep_one(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
     one = keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi")
     empty = named.where("class is null").select(F.col("row").alias("__row")).distinct()
     return one.unionByName(keyed.join(empty, "__row", "left_semi")).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM w),
+u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 85 * (len(sa.sh) + len(sb.sh) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT doc_id, doc_id FROM s),
+r(node, reach) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(reach) AS component_id FROM s JOIN r ON doc_id = node GROUP BY ALL
+"""

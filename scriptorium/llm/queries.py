@@ -70,4 +70,5 @@ ORACLES: dict[str, str] = {
     "op2_exact_topk": metric_search.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op6_license_scans": licenses.ORACLE,
+    "op8_ngram_jaccard_join": ngram_join.ORACLE,
 }
