@@ -118,11 +118,9 @@ def search(nodes: DataFrame, query: str, most: int = 60, related: int = 12) -> D
         .withColumn("score", F.round(F.col("score") * F.when(F.col("kind") != "file", 1.03).otherwise(1.0), 9))
         .withColumns({"coverage": F.col("matched") / F.lit(len(terms)), "matched_all": F.col("matched") == len(terms)})
     )
-    full = scored.where("matched_all").orderBy(F.desc("score"), T.natural_key(F.col("name")), "id").limit(most)
-    count = full.agg(F.count("*").alias("n"))  # one row
-    others = scored.where("NOT matched_all").join(F.broadcast(count), F.expr("n < 3 AND coverage >= CASE WHEN n > 0 THEN 0.5 ELSE 0.3 END")).orderBy(F.desc("coverage"), F.desc("score"), "id").limit(related)
-    cols = ["id", "name", "score", "coverage", "matched_all"]
-    union = full.select(*cols).unionByName(others.select(*cols))
-    # 72 rows at most
-    place = F.row_number().over(Window.orderBy(F.desc("matched_all"), F.when(F.col("matched_all"), 0.0).otherwise(-F.col("coverage")), F.desc("score"), T.natural_key(F.col("name")), "id"))
-    return union.withColumn("place", place.cast("int"))
+    # the first rows in this order hold all of the answer: those related count only where fewer than three match fully
+    order = [F.desc("matched_all"), F.when(F.col("matched_all"), 0.0).otherwise(-F.col("coverage")), F.desc("score"), T.natural_key(F.col("name")), F.col("id")]
+    first = scored.orderBy(*order).limit(most + related)
+    counted = first.withColumn("n", F.count_if("matched_all").over(Window.partitionBy())).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("int"))
+    near = F.expr("n < 3 AND coverage >= CASE WHEN n > 0 THEN 0.5 ELSE 0.3 END") & (F.col("place") - F.col("n") <= related)
+    return counted.where(F.when(F.col("matched_all"), F.col("place") <= most).otherwise(near)).select("id", "name", "score", "coverage", "matched_all", "place")
