@@ -62,14 +62,10 @@ def stem_prefix(t: Column) -> Column:
 
 
 def stem_search(t: Column) -> Column:
-    """The search stemmer: the first suffix of the list that leaves three characters goes."""
-    out = None
-    for s in W.SEARCH_SUFFIXES:
-        cut = F.substring(t, F.lit(1), F.length(t) - len(s))
-        value = F.concat(cut, F.lit("y")) if s == "ies" else cut
-        test = F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 3)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return F.when((F.length(t) <= 3) | t.rlike(r"^\d+$"), t).otherwise(out.otherwise(t))
+    """The search stemmer: the longest suffix of the list that leaves three characters goes."""
+    suffix = F.regexp_extract(t, rf"^(.{{3,}}?)({'|'.join(W.SEARCH_SUFFIXES)})$", 2)
+    cut = F.concat(F.substr(t, F.lit(1), F.length(t) - F.length(suffix)), F.when(suffix == "ies", "y").otherwise(""))
+    return F.when((F.length(t) <= 3) | t.rlike(r"^\d+$"), t).otherwise(cut)
 
 
 def heading_line(line: Column) -> Column:

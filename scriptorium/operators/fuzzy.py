@@ -97,7 +97,8 @@ def search(nodes: DataFrame, query: str, most: int = 60, related: int = 12) -> D
     up = tree.closure(nodes).where("depth > 0").join(nodes.select(F.col("id").alias("ancestor"), "name"), "ancestor").select("id", F.explode(T.search_tokens(F.col("name"))).alias("w"), F.lit(0.7).alias("field"))
     inside = nodes.select("id", F.explode(F.flatten(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), T.search_tokens))).alias("w"), F.lit(0.55).alias("field"))
     words = own.unionByName(up).unionByName(inside).groupBy("id", "w").agg(F.max("field").alias("field"))
-    matches = word_matches(asked, words.select("w").distinct())
+    # names of ancestors are names of nodes: the dictionary needs no closure
+    matches = word_matches(asked, own.select("w").union(inside.select("w")).distinct())
     best = words.join(matches, "w").groupBy("id", "q").agg(F.max(F.col("score") * F.col("field")).alias("m"))
     firsts = nodes.select("id", T.initials(T.search_tokens(F.col("name"))).alias("q")).join(asked.where(F.length("q").between(2, 6)), "q").select("id", "q", F.lit(0.95).alias("m"))
     each = best.unionByName(firsts.select("id", "q", "m")).groupBy("id", "q").agg(F.max("m").alias("m"))

@@ -59,3 +59,12 @@ def transcripts(results: DataFrame, quiet: str = "1 minute") -> DataFrame:
     return results.withWatermark("ts", quiet).groupBy("session").applyInPandasWithState(
         step, "session string, transcript string, results long", "done array<string>, n long, seen long", "update", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> None:
+    """Run ``stream`` over what is there and leave its result as Parquet in ``folder``/out."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
