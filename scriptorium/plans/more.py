@@ -50,12 +50,14 @@ def embedded_questions(spark, d):
 
 
 def change_log(spark, d):
-    """Each line of an order changes its status or its price; a returned line deletes it, a later one sets it anew."""
+    """Each line of an order changes its status and part; a returned line deletes it, a later one may set it anew."""
     l = table(spark, d, "lineitem")
     op = F.when(F.col("l_returnflag") == "R", "delete").when(F.col("l_returnflag") == "A", "set").otherwise("update")
     seq = F.col("l_linenumber") * 100_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
-    patch = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("part"), F.col("l_partkey").cast("string"))
-    folded = mutations.folded(l.select(seq.alias("seq"), F.col("l_orderkey").alias("id"), op.alias("op"), patch.alias("patch")))
+    change = F.struct(op.alias("op"), F.col("l_linestatus").alias("status"), F.col("l_partkey").cast("string").alias("part"))
+    log = l.groupBy(F.col("l_orderkey").alias("id"), seq.alias("seq")).agg(F.max(change).alias("c"))
+    patch = F.create_map(F.lit("status"), F.col("c.status"), F.lit("part"), F.col("c.part"))
+    folded = mutations.folded(log.select("seq", "id", "c.op", patch.alias("patch")))
     return folded.select("id", F.col("fields")["status"].alias("status"), F.col("fields")["part"].alias("part"))
 
 
@@ -73,8 +75,9 @@ ORACLES = {
     "ocr_pages": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
         b AS (SELECT *, len(regexp_extract_all(line, '\p{L}{3,}')) < 2 AS blank FROM l), s AS (SELECT *, avg(CAST(blank AS INTEGER)) OVER (PARTITION BY doc_id) AS share FROM b),
         r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM s WHERE blank AND (share > 0.5 OR page % 2 = 0)) SELECT doc_id, page FROM r WHERE r <= 80""",
-    "change_log": """WITH l AS (SELECT l_orderkey AS id, l_linenumber * 100000000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq, CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'set' ELSE 'update' END AS op, l_linestatus AS status, CAST(l_partkey AS VARCHAR) AS part FROM lineitem),
-        x AS (SELECT *, max(seq) FILTER (op <> 'update') OVER (PARTITION BY id) AS reset FROM l), y AS (SELECT * FROM x WHERE reset IS NULL OR seq >= reset)
+    "change_log": """WITH g AS (SELECT l_orderkey AS id, l_linenumber * 100000000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq,
+          max(struct_pack(op := CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'set' ELSE 'update' END, status := l_linestatus, part := CAST(l_partkey AS VARCHAR))) AS m FROM lineitem GROUP BY 1, 2),
+        l AS (SELECT id, seq, m.op AS op, m.status AS status, m.part AS part FROM g), x AS (SELECT *, max(seq) FILTER (op <> 'update') OVER (PARTITION BY id) AS reset FROM l), y AS (SELECT * FROM x WHERE reset IS NULL OR seq >= reset)
         SELECT id, arg_max(status, seq) AS status, arg_max(part, seq) AS part FROM y WHERE op <> 'delete' GROUP BY id""",
     "activity_counters": "SELECT user_id AS uid, CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS BIGINT) AS value, max(ts) AS last_seen FROM events GROUP BY 1",
 }
