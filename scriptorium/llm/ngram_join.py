@@ -224,7 +224,8 @@ def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
 def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     named = settle(classes(docs, n, num, den), "classes")
-    least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # written first, so that a component of very many documents can be split in the join
+    least = settle(named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
