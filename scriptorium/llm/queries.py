@@ -71,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE,
     "op6_license_scans": licenses.ORACLE,
     "op8_ngram_jaccard_join": ngram_join.ORACLE,
+    "op9_secret_scans": secrets.ORACLE,
 }

@@ -176,3 +176,42 @@ def redact(docs: DataFrame, fdr: float = FDR, mark: str = "[secret]") -> DataFra
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def _oracle() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    opening, closing = f"chr({ord(OPEN)})", f"chr({ord(CLOSE)})"
+    patterns = ((0, ASSIGN), (1, ACCESS), (2, HEX), (3, RUN))
+    marked = " UNION ALL ".join(rf"SELECT doc_id, {k} AS k, string_split(regexp_replace(t, {q(p)}, {opening} || '\0' || {closing}, 'g'), {opening}) AS p FROM t" for k, p in patterns)
+    length = "length(m) >= 20"
+    band = " + ".join(f"CAST({length.replace('20', str(b))} AS INTEGER)" for b in BANDS)
+    alphabet = " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in ALPHABETS.items())
+    top = int(LIMIT / STEP)
+    return rf"""
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {opening} || {closing}, '??') AS t FROM documents),
+    p AS ({marked}),
+    m AS (SELECT doc_id, k, unnest(list_transform(range(2, len(p) + 1), lambda i: {{'s': CAST(list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS BIGINT) - (i - 2), 'm': split_part(p[i], {closing}, 1)}})) AS x FROM p),
+    f AS (SELECT doc_id, k, x.s AS s, x.s + length(x.m) AS e, x.m AS m FROM m),
+    base AS (SELECT doc_id, s, k, e FROM f WHERE k IN (1, 2) OR (k = 0 AND length(regexp_extract(m, {q(ASSIGN)}, 2)) >= 12)),
+    b AS (SELECT doc_id, s, e, m, regexp_replace(m, '=+$', '') AS bare FROM f WHERE k = 3),
+    c AS (SELECT *, CASE WHEN regexp_matches(bare, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'hex' WHEN regexp_matches(bare, '^[A-Z2-7]+$') THEN 'base32' ELSE 'base64' END AS kind FROM b),
+    d AS (SELECT *, translate(CASE WHEN kind = 'hex' THEN lower(bare) ELSE bare END, '-_', '+/') AS pl, CASE kind WHEN 'hex' THEN 16.0::DOUBLE WHEN 'base32' THEN 32.0::DOUBLE ELSE 64.0::DOUBLE END AS a, CASE kind {alphabet} END AS al FROM c),
+    v AS (SELECT *, list_transform(range(1, length(pl) + 1), lambda i: CAST(instr(al, substr(pl, i, 1)) AS DOUBLE) - 1) AS v, CAST(length(pl) AS DOUBLE) AS n FROM d),
+    w AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda y: pow(CAST(len(list_filter(v, lambda x: x = y)) AS DOUBLE), 2))) AS sq,
+                 CAST(len(list_filter(range(1, len(v)), lambda i: (v[i] >= a / 2) <> (v[i + 1] >= a / 2))) AS DOUBLE) AS ch,
+                 list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - (a - 1) / 2) * (v[i + 1] - (a - 1) / 2))) AS se FROM v),
+    z AS (SELECT *, pow(greatest((a / n * sq - n - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n), 0), 2) + pow((ch - (n - 1) / 2) / sqrt((n - 1) / 4), 2) + pow(se / ((a * a - 1) / 12 * sqrt(n - 1)), 2) AS total FROM w),
+    r AS (SELECT doc_id, s, e, kind || ':' || ({band}) AS band, regexp_matches(m, '^([A-Z]?[a-z_/+-]+|[A-Z_/+-]+|[0-9_/+-]+)=*$') AS decoy, CAST(floor(least(total, 1000.0::DOUBLE) / {STEP}::DOUBLE) AS INTEGER) AS bin FROM z),
+    g AS (SELECT band, least(bin, {top}) AS bin, count(*) FILTER (decoy) AS decoys, count(*) FILTER (NOT decoy) AS others FROM r GROUP BY ALL),
+    u AS (SELECT band, bin, sum(decoys) OVER x AS decoys, sum(others) OVER x AS others FROM g WINDOW x AS (PARTITION BY band ORDER BY bin)),
+    bar AS (SELECT band, max(bin) AS bar FROM u WHERE bin < {top} AND others > 0 AND 1 + decoys <= {FDR}::DOUBLE * others GROUP BY band),
+    spans AS (SELECT doc_id, s, k, e FROM base UNION ALL SELECT doc_id, s, 3, e FROM r JOIN bar USING (band) WHERE NOT decoy AND bin <= bar),
+    said AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS x FROM spans),
+    per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                   string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM said GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN per USING (doc_id)
+    """
+
+
+ORACLE = _oracle()
