@@ -144,3 +144,23 @@ def join_recognition(results: Column) -> Column:
         )
 
     return T.squash(F.array_join(F.aggregate(results, F.array().cast("array<string>"), step), " "))
+
+
+def topic_parts(words, target: float) -> list[int]:
+    """The part of each page of a topic: a part closes at 80 % of ``target``; a tail below 30 %
+    of it joins the part before. A topic up to a quarter over the target stays whole."""
+    if sum(words) <= target * 1.25 or len(words) < 2:
+        return [0] * len(words)
+    out, part, load = [], 0, 0
+    for w in words:
+        out.append(part)
+        load += w
+        if load >= target * 0.8:
+            part, load = part + 1, 0
+    if load and out[-1] and load < target * 0.3:
+        out = [min(p, out[-1] - 1) for p in out]
+    return out
+
+
+def topic_fold(target: float):
+    return _fold(lambda words: topic_parts(words, target))

@@ -195,3 +195,49 @@ def sectioned_topics(docs: DataFrame) -> DataFrame:
     headed = flat.withColumn("head", T.heading_line(F.col("line")).cast("int")).withColumn("section", F.sum("head").over(order))
     title = F.min_by(F.when(F.col("head") == 1, T.tidy_title(T.strip(F.col("line")))), F.col("line_no"))
     return headed.groupBy("doc_id", "section").agg(title.alias("title"), (F.sum(F.when(F.col("head") == 0, T.word_count(F.col("line"))).otherwise(0)) + 1).alias("words"))
+
+
+def compared_definitions(docs: DataFrame, shared: int = 2) -> DataFrame:
+    """``doc_id, sent_idx, subject, other``: a definition and the next one of its document, where
+    their sentences share at least ``shared`` stems."""
+    found = definitions(docs).join(R.sentences(docs), ["doc_id", "sent_idx"])
+    stems = F.array_distinct(F.transform(T.content_terms(F.col("text")), T.stem_prefix))
+    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    pairs = found.withColumn("stems", stems).withColumns({"other": F.lead("subject").over(order), "theirs": F.lead("stems").over(order)})
+    return pairs.where((F.col("other") != F.col("subject")) & (F.size(F.array_intersect("stems", "theirs")) >= shared)).select("doc_id", "sent_idx", "subject", "other")
+
+
+def head_pairs(docs: DataFrame) -> DataFrame:
+    """``doc_id, head, term, other``: neighbouring key phrases, in order of appearance, that end in the same word."""
+    phrases = R.keyword_candidates(docs).where("term LIKE '% %' AND weight >= 3").withColumn("head", F.element_at(F.split("term", " "), -1))
+    order = Window.partitionBy("doc_id", "head").orderBy("first_pos")
+    return phrases.withColumn("other", F.lead("term").over(order)).where("other IS NOT NULL").select("doc_id", "head", "term", "other")
+
+
+def mention_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, term, n``: how often each of ``terms(doc_id, term)`` stands in its document, in any casing, also inside words."""
+    text, term = F.lower(F.coalesce("text", F.lit(""))), F.lower("term")
+    n = (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)
+    return terms.where("term <> ''").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "term", n.cast("long").alias("n"))
+
+
+def emphasised(text: Column, terms: Column) -> Column:
+    """The first mention of each term of four letters and more in bold."""
+
+    def step(done: Column, term: Column) -> Column:
+        at = F.regexp_instr(done, F.concat(F.lit(r"(?iu)(?<![*\p{L}])"), T.quote(term), F.lit(r"(?![*\p{L}])")))
+        bold = F.concat(F.substr(done, F.lit(1), at - 1), F.lit("**"), F.substr(done, at, F.length(term)), F.lit("**"), F.substr(done, at + F.length(term)))
+        return F.when((F.length(term) < 4) | (at == 0) | F.contains(done, F.concat(F.lit("**"), term)), done).otherwise(bold)
+
+    return F.aggregate(terms, text, step)
+
+
+def term_cards(docs: DataFrame, most: int = 40) -> DataFrame:
+    """``doc_id, term, prompt``: for each term a fact that no stronger term has taken, with the term blanked out."""
+    from ..sources.tables import pages
+
+    terms = quiz_terms(docs).withColumn("strength", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "n", "term")))
+    pairs = facts(pages(docs)).join(terms, "doc_id").where(T.mentions(F.col("text"), F.col("term")))  # at most 80 terms a document
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("strength"))).where("r = 1")
+    own = first.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy("page", "text"))).where("k = 1")
+    return own.where(F.col("strength") <= most).select("doc_id", "term", T.blank_out(F.col("text"), F.col("term")).alias("prompt"))

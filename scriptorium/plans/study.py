@@ -10,6 +10,7 @@ from ..operators import planning, scoring, signal, study
 from ..operators import retrieval as R
 from ..sources.tables import lines, pages, table
 from . import sql as S
+from .retrieval import _KEYS as R_SQL
 
 
 def _docs(spark, d):
@@ -71,6 +72,32 @@ def quiz_sets(spark, d):
     return study.quiz_sets(_docs(spark, d))
 
 
+def compared_definitions(spark, d):
+    return study.compared_definitions(_docs(spark, d))
+
+
+def head_pairs(spark, d):
+    return study.head_pairs(_docs(spark, d))
+
+
+def mention_counts(spark, d):
+    terms = _docs(spark, d).select("doc_id", F.explode(F.array(F.lit("the"), F.lit("er"), F.col("lang"))).alias("term"))
+    return study.mention_counts(_docs(spark, d), terms)
+
+
+def term_cards(spark, d):
+    return study.term_cards(_docs(spark, d))
+
+
+def topic_split(spark, d):
+    """Lines as pages of one topic a document, in parts for a target of 200 words."""
+    from ..operators.folds import topic_fold
+
+    w = _docs(spark, d).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: T.word_count(x).cast("int")).alias("w"))
+    x = w.select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("w"), topic_fold(200)("w").alias("p"))).alias("x"))
+    return x.groupBy("doc_id", F.col("x.p").alias("part")).agg(F.count("*").alias("pages"), F.sum("x.w").cast("long").alias("words"))
+
+
 def _responses(spark, d):
     """Each order as a matching question: the right answer is its line numbers, the response their quantities modulo 7."""
     item = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity").cast("int") % 7 + 1).alias("q")))).alias("x"))
@@ -174,7 +201,7 @@ def speech_timing(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    definitions, list_sentences, acronym_expansions, code_lines, quiz_facts, fact_term_mentions, important_flags, question_bank, flashcards, bank_counts, notes_markdown, quiz_terms, quiz_sets,
+    definitions, list_sentences, acronym_expansions, code_lines, quiz_facts, fact_term_mentions, important_flags, question_bank, flashcards, bank_counts, notes_markdown, quiz_terms, quiz_sets, compared_definitions, head_pairs, mention_counts, term_cards, topic_split,
     grade_match, quiz_breakdown, topic_words, plan_days, plan_totals, answer_scores, answer_review, interview_report, tech_terms, voice_report, follow_ups, resume_profiles, transcripts_clean,
     signal_rms, signal_threshold, signal_resample, signal_speech, voice_stats, speech_timing,
 )}
@@ -233,6 +260,23 @@ ORACLES = {
     "list_sentences": rf"""WITH {S.SENTENCES}, m AS (SELECT doc_id, sent_idx, lower(regexp_extract(text, '{_re(W.LIST)}', 1)) AS subject, regexp_extract(text, '{_re(W.LIST)}', 2) AS rest FROM s),
         i AS (SELECT *, CAST(len(list_filter(list_transform(regexp_split_to_array(regexp_replace(rest, '[.;]\s*$', ''), ',\s*(?:and\s+|or\s+)?|\s+and\s+'), lambda x: trim(x)), lambda x: length(x) > 1)) AS BIGINT) AS items FROM m WHERE subject <> '')
         SELECT doc_id, sent_idx, subject, items FROM i WHERE items BETWEEN 3 AND 8 AND contains(rest, ',')""",
+    "compared_definitions": rf"""WITH {S.SENTENCES}, m AS (SELECT doc_id, sent_idx, text, lower(regexp_extract(text, '{_re(W.SUBJECT)}', 1)) AS subject FROM s),
+        f AS (SELECT doc_id, sent_idx, subject, list_distinct(list_transform({S.content("text")}, lambda w: left(w, 5))) AS st FROM m WHERE length(subject) > 3 AND NOT regexp_matches(subject, '{_re(W.WEAK_SUBJECT)}')),
+        p AS (SELECT *, lead(subject) OVER w AS other, lead(st) OVER w AS theirs FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx))
+        SELECT doc_id, sent_idx, subject, other FROM p WHERE other <> subject AND len(list_intersect(st, theirs)) >= 2""",
+    "head_pairs": f"""WITH {R_SQL}, h AS (SELECT doc_id, term, first_pos, string_split(term, ' ')[-1] AS head FROM c WHERE contains(term, ' ') AND weight >= 3),
+        p AS (SELECT doc_id, head, term, lead(term) OVER (PARTITION BY doc_id, head ORDER BY first_pos) AS other FROM h) SELECT * FROM p WHERE other IS NOT NULL""",
+    "mention_counts": """WITH t AS (SELECT doc_id, text, unnest(['the', 'er', lang]) AS term FROM documents)
+        SELECT doc_id, term, CAST((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS BIGINT) AS n FROM t WHERE term <> ''""",
+    "topic_split": """WITH RECURSIVE n AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: len(regexp_extract_all(x, '\\S+'))) AS w FROM documents),
+        f(doc_id, i, p, load) AS (
+          SELECT doc_id, 1, 0, w[1] FROM n
+          UNION ALL
+          SELECT f.doc_id, f.i + 1, CASE WHEN f.load >= 160 THEN f.p + 1 ELSE f.p END, CASE WHEN f.load >= 160 THEN 0 ELSE f.load END + n.w[f.i + 1] FROM f JOIN n ON f.doc_id = n.doc_id WHERE f.i < len(n.w)),
+        l AS (SELECT doc_id, arg_max(p, i) AS p, arg_max(load, i) AS load FROM f GROUP BY doc_id),
+        q AS (SELECT f.doc_id, f.i, n.w[f.i] AS w, CASE WHEN list_sum(n.w) <= 250 OR len(n.w) < 2 THEN 0 WHEN l.p > 0 AND l.load > 0 AND l.load < 60 AND f.p = l.p THEN f.p - 1 ELSE f.p END AS p
+              FROM f JOIN n USING (doc_id) JOIN l USING (doc_id))
+        SELECT doc_id, CAST(p AS INTEGER) AS part, count(*) AS pages, CAST(sum(w) AS BIGINT) AS words FROM q GROUP BY doc_id, p""",
     "code_lines": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS line_no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
         SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, '[{};]\s*$|^\s*(def |class |import |return |if \(|for \(|while \(|const |let |var |#include|int |void |SELECT |INSERT )')""",
     "quiz_facts": f"WITH {_FACTS} SELECT doc_id, text FROM fa",

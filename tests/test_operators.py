@@ -80,6 +80,11 @@ def test_study_material(spark):
     assert "## Overview" in study.notes(docs).first()["markdown"]
 
 
+def test_emphasis_and_cards(spark):
+    df = spark.createDataFrame([("A graph is a graph of nodes.", ["graph", "node", "nodes"])], "t string, k array<string>")
+    assert df.select(study.emphasised(F.col("t"), F.col("k"))).first()[0] == "A **graph** is a graph of **nodes**."
+
+
 def test_quiz_is_grounded_and_repeatable(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = study.quiz_sets(docs, 5).collect(), study.quiz_sets(docs, 5).collect()

@@ -89,6 +89,7 @@ def test_folds():
     assert folds.chunk_numbers([500, 500], 180) == [0, 1] and folds.chunk_numbers([]) == []
     assert folds.part_numbers([10, 20, 300, 5], 100) == [0, 0, 1, 2]
     assert folds.page_numbers([(300, False), (10, True), (200, False)], 450) == [0, 1, 1]
+    assert folds.topic_parts([10, 10], 100) == [0, 0] and folds.topic_parts([90, 90, 20], 100) == [0, 1, 1] and folds.topic_parts([90, 90, 40], 100) == [0, 1, 2]
     days = folds.day_numbers([5, 5, 5, 5, 5], 3)
     assert len(days) == 5 and sorted(set(days)) == [0, 1, 2] and folds.day_numbers([1, 1], 9) == [0, 1]
 
