@@ -87,8 +87,8 @@ class Chunk:
         return mix((s[ends] - s[starts]) * inv[starts] + (ends - starts).astype(U))
 
 
-def chunks(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[Chunk]:
-    """Whole documents of an Arrow string column, a few MB at a time; null is empty."""
+def chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Chunk]:
+    """Whole documents of an Arrow string column, about a MB at a time; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
