@@ -42,3 +42,34 @@ def test_run_returns_the_last_stage(spark, sf):
 def test_ten_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_near_copies_go_from_four_fifths_of_five_word_runs_on(spark, sf):
+    import itertools
+    import random
+
+    from .test_text_ops import docs_of, near_copies, shingles, words
+
+    r = random.Random(5)
+    texts, base = near_copies(3), words(r, 200)
+    edited = list(base)
+    for k in range(4):
+        edited[20 + 40 * k] = f"edit{k}"
+    copies = [base, base + words(r, 45), base[:165], edited, base + words(r, 60), base[:125]]
+    texts += [" ".join(c) for c in copies]
+    sets = [shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = [i for i in range(len(texts)) if find(i) == i]
+    first = len(texts) - len(copies)
+    assert [i - first for i in want if i >= first] == [0, 4, 5]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs_of(spark, texts), sf)
+    assert sorted(x["doc_id"] for x in kept.collect()) == want
