@@ -13,10 +13,13 @@ a document could hold an item:
    value with its neighbours finds all items within the radius;
 4. candidates are verified exactly: the sum of weights of common runs over that of all
    runs, as multisets, at least ``similarity``. A run weighs ``ln(1 + items / items that
-   have it)``; one that no item has counts as had by one.
+   have it)``, over the whole benchmark; one that no item has counts as had by one.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of its text, one pass over
-the documents a block, so its size is not bounded by memory.
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of its text (and one item),
+one pass over the documents a block, so its size is not bounded by memory. Of several
+blocks each gets the counts of its own runs by a join, and by a further pass over the
+documents those of the other blocks' runs in windows that could be leaks; both passes find
+the same as one block would.
 
 Nulls and ties: a null or empty text leaks nothing; items without words are left out; a
 null doc_id or item_id is kept; repeated rows are reported each; of equally similar windows
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import prepare
+from .common import prepare, settle
 
 RUN, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCK_BYTES = 16 << 20
@@ -75,9 +78,11 @@ class HammingIndex:
 
 
 class Items:
-    """A block of the benchmark, made ready: runs by length class, weights, indexes."""
+    """A block of the benchmark, made ready: runs by length class, weights, indexes. A block
+    that isn't the whole benchmark is told how many ``items`` that has, and gets its weights
+    by ``weigh``."""
 
-    def __init__(self, texts: list[str | None], radius: int = RADIUS):
+    def __init__(self, texts: list[str | None], radius: int = RADIUS, items: int | None = None):
         self.runs: list[np.ndarray] = []
         self.words: list[int] = []
         for c in K.chunks(pa.array(texts, pa.string())):
@@ -86,12 +91,15 @@ class Items:
             for i in range(c.n):
                 self.words.append(int(at[i + 1] - at[i]))
                 self.runs.append(K.document_shingles(h[at[i] : at[i + 1]], RUN))
-        had: dict[int, int] = {}
-        for r in self.runs:
-            for x in set(r.tolist()):
-                had[x] = had.get(x, 0) + 1
-        self.rarest = float(np.log1p(len(texts)))
-        self.weight = {x: float(np.log1p(len(texts) / n)) for x, n in had.items()}
+        self.items = len(texts) if items is None else items
+        self.rarest = float(np.log1p(self.items))
+        self.weight: dict[int, float] = {}
+        if items is None:
+            had: dict[int, int] = {}
+            for r in self.runs:
+                for x in set(r.tolist()):
+                    had[x] = had.get(x, 0) + 1
+            self.weigh(had)
         self.by_words: dict[int, np.ndarray] = {}
         for w in sorted({w for w in self.words if w}):
             self.by_words[w] = np.array([i for i, x in enumerate(self.words) if x == w])
@@ -104,6 +112,13 @@ class Items:
             table[(runs & K.U(0xFFFF)).astype(np.int64)] = True
             self.quick[n] = table
 
+    def weigh(self, had: dict[int, int]) -> None:
+        """``had``: by how many items of the benchmark a run is had (not given: by one)."""
+        self.weight |= {x: float(np.log1p(self.items / n)) for x, n in had.items()}
+
+    def own(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, K.U), *self.runs]))
+
     def similarity(self, window: np.ndarray, item: int) -> float:
         values, which = np.unique(np.concatenate([window, self.runs[item]]), return_inverse=True)
         a = np.bincount(which[: len(window)], minlength=len(values))
@@ -111,8 +126,33 @@ class Items:
         w = np.array([self.weight.get(x, self.rarest) for x in values.tolist()])
         return float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum())
 
+    def strangers(self, column: pa.Array, similarity: float, own: np.ndarray) -> np.ndarray:
+        """Runs that are not the block's (``own``), of windows that reach ``similarity`` where
+        these weigh as little as a run can: ``ln 2``, had by all items."""
+        found = [np.zeros(0, K.U)]
+        for document in self._documents(column):
+            for _, _, item, window in self._candidates(*document) if document else ():
+                values, which = np.unique(np.concatenate([window, self.runs[item]]), return_inverse=True)
+                a = np.bincount(which[: len(window)], minlength=len(values))
+                b = np.bincount(which[len(window) :], minlength=len(values))
+                strange = ~np.isin(values, own)
+                w = np.where(strange, np.log(2), [self.weight.get(x, self.rarest) for x in values.tolist()])
+                if strange.any() and (np.minimum(a, b) * w).sum() >= (similarity - 1e-9) * (np.maximum(a, b) * w).sum():
+                    found.append(values[strange])
+        return np.unique(np.concatenate(found))
+
     def leaks(self, column: pa.Array, similarity: float) -> Iterator[list[tuple[int, int, int, float]]]:
         """For each document: ``(item, first word, words, similarity)``, the best window an item."""
+        for document in self._documents(column):
+            best: dict[int, tuple[float, int, int]] = {}
+            for p, n, item, window in self._candidates(*document) if document else ():
+                score = self.similarity(window, item)
+                if score >= similarity and (item not in best or score > best[item][0]):
+                    best[item] = (score, p, n)
+            yield [(item, p, n, score) for item, (score, p, n) in sorted(best.items())]
+
+    def _documents(self, column: pa.Array) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray]] | None]:
+        """For each document its words and the places of known runs; None where it has none."""
         for c in K.chunks(column):
             starts, ends, at = c.spans(K.PUNCT)
             h = c.hashes(starts, ends)
@@ -127,10 +167,10 @@ class Items:
                 a, b = int(at[i]), int(at[i + 1])
                 near = {n: p[slice(*np.searchsorted(p, (a, b - n + 1)))] - a for n, p in places.items()}
                 short = b - a < RUN and b > a and RUN in self.quick
-                yield self._document(h[a:b], near, similarity) if short or any(map(len, near.values())) else []
+                yield (h[a:b], near) if short or any(map(len, near.values())) else None
 
-    def _document(self, words: np.ndarray, near: dict[int, np.ndarray], similarity: float) -> list[tuple[int, int, int, float]]:
-        best: dict[int, tuple[float, int, int]] = {}
+    def _candidates(self, words: np.ndarray, near: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """``(first word, words, item, runs of the window)`` of all pairs within the radius."""
         made: dict[int, np.ndarray] = {}
         for w, own in self.by_words.items():
             n = min(w, RUN, len(words))
@@ -157,10 +197,7 @@ class Items:
                     prints = simhash(runs[s[0] : s[-1] + width], width)
                     for q, i in zip(*self.index[w].find(prints), strict=True):
                         p, item = int(s[0] + q), int(own[i])
-                        score = self.similarity(runs[p : p + width], item)
-                        if score >= similarity and (item not in best or score > best[item][0]):
-                            best[item] = (score, p, min(w, len(words)))
-        return [(item, p, n, score) for item, (score, p, n) in sorted(best.items())]
+                        yield p, min(w, len(words)), item, runs[p : p + width]
 
 
 def blocks(items: DataFrame) -> Iterator[list]:
@@ -176,6 +213,54 @@ def blocks(items: DataFrame) -> Iterator[list]:
         yield held
 
 
+def shared_runs(items: DataFrame) -> DataFrame:
+    """``run, n``: runs that several items have, and how many."""
+
+    def go(batches):
+        for b in batches:
+            for c in K.chunks(b["text"]):
+                h, at = c.hashes(*(s := c.spans(K.PUNCT))[:2]), s[2]
+                runs = [np.unique(K.document_shingles(h[at[i] : at[i + 1]], RUN)) for i in range(c.n)]
+                yield _run_batch(np.concatenate(runs))
+
+    return items.select("text").mapInArrow(go, "run long").groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _run_batch(runs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64))], ["run"])
+
+
+def _had(counts: DataFrame, runs: DataFrame) -> dict[int, int]:
+    found = counts.join(runs, "run").select("run", "n").toArrow()
+    return dict(zip(found["run"].to_numpy().view(np.uint64).tolist(), found["n"].to_pylist(), strict=True))
+
+
+def ready_blocks(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> Iterator[tuple[Items, list]]:
+    """The benchmark's blocks with the weights of the whole benchmark, and their item_ids."""
+    spark = docs.sparkSession
+    total, counts = items.count(), None
+    for rows in blocks(items):
+        texts, ids = [r["text"] for r in rows], [r["item_id"] for r in rows]
+        if len(rows) == total:
+            yield Items(texts, radius), ids
+            continue
+        if counts is None:
+            counts = settle(shared_runs(items), "runs")
+        block = Items(texts, radius, total)
+        own = block.own()
+        block.weigh(_had(counts, spark.createDataFrame(pa.Table.from_batches([_run_batch(own)]))))
+        sent = spark.sparkContext.broadcast((block, own))
+
+        def go(batches, sent=sent):
+            ready, own = sent.value
+            for b in batches:
+                yield _run_batch(ready.strangers(b["text"], similarity, own))
+
+        block.weigh(_had(counts, docs.select("text").mapInArrow(go, "run long").distinct()))
+        sent.unpersist()
+        yield block, ids
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Per document and item that it holds: doc_id, item_id, start_word, n_words, similarity."""
     spark = docs.sparkSession
@@ -183,8 +268,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     kind, key = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {key}, start_word long, n_words long, similarity double"
     out = spark.createDataFrame([], schema)
-    for rows in blocks(items):
-        sent = spark.sparkContext.broadcast((Items([r["text"] for r in rows], radius), [r["item_id"] for r in rows]))
+    for ready in ready_blocks(docs, items, similarity, radius):
+        sent = spark.sparkContext.broadcast(ready)
 
         def go(batches, sent=sent):
             ready, ids = sent.value
@@ -201,8 +286,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows that hold an item."""
     prepare(docs.sparkSession)
-    for rows in blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(Items([r["text"] for r in rows], radius))
+    for block, _ in ready_blocks(docs, items, similarity, radius):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def go(batches, sent=sent):
             for b in batches:

@@ -232,6 +232,32 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(df.where("false"), bench).count() == 0 and decontaminate.clean(df, bench.where("false")).count() == len(texts)
 
 
+def test_leaks_do_not_depend_on_the_benchmarks_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    common = words(r, 40)  # what most items have weighs little
+    items = [" ".join(common + words(r, 12)) for _ in range(12)] + [" ".join(words(r, 40) + common[:12]) for _ in range(4)] + ["", None]
+    texts = []
+    for item in items[:16]:
+        own = item.split()
+        changed = list(own)
+        changed[45 if len(own) == 52 and own[:5] == common[:5] else 20] = "changed"
+        far = list(own)
+        far[:7] = common[-7:]  # runs of other items only
+        cut = own[:44] + common[:8]
+        texts += [" ".join(["before", *own, "after"]), " ".join(changed), " ".join(far), " ".join(cut), " ".join(own[:-2] + ["x", "y"])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = docs_of(spark, texts).repartition(3)
+    rows = lambda: sorted(tuple(x) for x in decontaminate.leaks(df, bench, radius=64).collect())
+    one = rows()
+    assert {x[:2] for x in one} == brute_leaks(texts, items) and len({x[0] for x in one}) < len(texts)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    assert len(list(decontaminate.blocks(bench))) > 3
+    assert rows() == one
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5)
+    assert rows() == one
+    assert {x["doc_id"] for x in decontaminate.clean(df, bench, radius=64).collect()} == set(range(len(texts))) - {x[0] for x in one}
+
+
 def test_hamming_index_finds_all_within_radius():
     r = np.random.default_rng(7)
     prints = r.integers(0, 1 << 63, 200).astype(np.uint64)
