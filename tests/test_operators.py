@@ -218,3 +218,28 @@ def test_transcript_stream(spark, tmp_path):
     q = live.transcripts(stream).writeStream.outputMode("update").format("memory").queryName("said").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.table("said").collect()[-1]["transcript"] == "I built a tool and shipped"
+
+
+def test_term_cards_equal_greedy_pick(spark):
+    import re
+
+    from scriptorium.operators import study
+    from scriptorium.sources.tables import pages
+
+    texts = [
+        "Photosynthesis is a process that makes food for green plants with chlorophyll inside. Chlorophyll is a pigment that drives photosynthesis in all green leaves today.",
+        "Respiration is a process that burns sugar with oxygen in every cell. Oxygen is a gas that respiration takes from the air around. Glucose is a sugar that respiration and oxygen turn into energy.",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    facts = sorted((r["doc_id"], r["page"], r["text"]) for r in study.facts(pages(docs)).collect())
+    terms = sorted(((r["doc_id"], -r["score"], r["n"], r["term"]) for r in study.quiz_terms(docs).collect()))
+    for most in (40, 1):
+        want, used = [], set()
+        for d, _, _, term in terms:
+            free = [f for f in facts if f[0] == d and f not in used and re.search(rf"\b{re.escape(term)}\b", f[2], re.I)]
+            if free and sum(x[0] == d for x in want) < most:
+                used.add(free[0])
+                want.append((d, term))
+        got = sorted((r["doc_id"], r["term"]) for r in study.term_cards(docs, most).collect())
+        assert got == sorted(want)
+        assert len(got) == (5 if most == 40 else 2)
