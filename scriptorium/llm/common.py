@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -74,6 +74,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row's columns, of any types and names, as text: equal rows have equal ones."""
+    columns = [(F.col(f"`{c.replace('`', '``')}`"), t) for c, t in df.dtypes]
+    whole = [F.to_json(F.struct(c.alias("x"))) if "map<" in t or "variant" in t else c for c, t in columns]
+    whole += [c.isNull() for c, _ in columns]  # the hash passes nulls over
+    return F.concat(F.hex(F.xxhash64(F.lit(1), *whole)), F.lit("."), F.hex(F.xxhash64(F.lit(2), *whole)))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs.
 
@@ -91,7 +107,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         hooked = labels.join(around, "node").select("node", "root", F.least("root", "near").alias("low"))
         # the old root learns of the lower label too, else long chains move one step a round
         told = hooked.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("via_root"))
-        step = hooked.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("via_root", "low")).alias("next"))
+        # written before the jump, whose key may be the label of very many nodes: such a join can be split
+        step = settle(hooked.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("via_root", "low")).alias("next")), "step")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         new = settle(
             step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("beyond", "next")).alias("next")),

@@ -7,25 +7,34 @@ Two sets link when ``den * |a & b| >= num * |a | b|``, that is when they differ
 
 * Size bands grow by ``den / num``, so linked sets lie in one band or in neighbours. For
   each band the universe is hashed into segments, a fifth more than the largest difference
-  plus one, and a set's part in a segment gives a signature.
-* Allocation by cost: a set signs only its fullest segments, as many as its own largest
-  difference plus one (and those as full as the last of them). Of two linked sets take the
-  one with the higher bar: one of its signed segments is the same in the other, which has
-  then signed it too, so no link is lost, and the emptiest segments, which unrelated sets
-  share, are never signed. In bands of small sets, where a few whole segments with their
-  one-deletion neighbourhoods cost less, those are signed instead.
-* Sets that share a signature are candidates. Each is first verified exactly against the
-  best-supported set of its group; what lies in groups that are then still in several
-  components is verified pair by pair, so components are those of all links. Pairs that
-  differ too much by an odd sketch (a lower bound of the difference) are not read again.
-
-Equal sets are one node throughout: copies make no pairs. Verification reads the whole
-texts again and compares 64-bit hashes of their runs.
+  plus one, and a set's part in a segment gives a signature. Bands of small sets also get
+  half as many segments, signed with their one-deletion neighbourhoods.
+* Allocation by counted cost. How many sets hold a signature is counted over all data. Of
+  the whole segments a set signs only its rarest, as many as its own largest difference
+  plus one (threshold 0); its most common ones are left out (threshold -1). As the order
+  is the same for all and two linked sets agree in all segments but at most as many as
+  they differ in, they share one that both have signed. In a band of small sets that
+  scheme stays, whole segments or one-deletion neighbourhoods (threshold 1), whose counted
+  lists are shorter.
+* Of the sets that share a signature the best-supported one is the pivot. Every other is
+  compared with it by the whole texts, which gives the exact link and the elements in which
+  the two differ. Two sets of a group of which at least one isn't linked to the pivot can
+  only link if these differences overlap, by as much as their sizes say. So they meet by
+  the first elements of the differences in a fixed order (those that the pivot lacks come
+  first), of which several must agree, never as all pairs of a group, and are then compared
+  by the whole texts. Sets that both link to the
+  pivot are in one component already.
+
+Equal sets are one node throughout: copies make no pairs. Comparison reads the whole texts
+again and matches 64-bit hashes of their runs. A common signature, a pivot of many sets and
+a large component are split over tasks: what one of them joins was written before, so that
+skewed joins can be dealt anew, and a pivot's members are dealt out by a salt, with one copy
+of its text for each.
 
 Nulls and ties: a null doc_id takes part with its text and its component is the least
 known doc_id there; repeated rows come back as often as they are given; no text or no
-words: ``n_shingles`` 0 and the document's own id. Further columns are ignored by the join
-and kept by ``keep_one``.
+words: ``n_shingles`` 0 and the document's own id. Very long texts are sets like others.
+Further columns, whatever their names, are ignored by the join and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -38,16 +47,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import components, prepare, settle
+from .common import components, prepare, row_digest, settle, unused
 
 WORDS, NUM, DEN = 4, 85, 100
 SLACK = 1.2
-#: Of the cost model: how often unrelated sets share an element, and the price of a false match in signatures.
-SHARED, PRICE = 0.5, 20
+#: Bands up to this size are also signed by one-deletion neighbourhoods.
+SMALL = 48
+#: Sets that are compared with one copy of their pivot's text.
+DEALT = 256
+#: Shared elements of their differences from a pivot, fewer only if fewer are needed, by which two sets meet.
+SHARE = 16
 
 
 class Bands:
-    """Size bands, and for each the number of segments and whether deletions are signed."""
+    """Size bands, and for each the number of whole segments and of those with deletions."""
 
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
@@ -59,48 +72,52 @@ class Bands:
     def differ(self, total: int) -> int:
         return (self.den - self.num) * total // (self.den + self.num)
 
-    def _plan(self, k: int) -> tuple[int, bool]:
-        top = self.low[k + 1] - 1
-        need = self.differ(top + top * self.den // self.num) + 1
-        whole, near = int(np.ceil(SLACK * need)), (need + 1) // 2
-        t = top / near
-        exact = whole + PRICE * whole * SHARED ** (top / whole)
-        deleted = top + near + PRICE * near * t * SHARED ** (t - 1)
-        return (near, True) if deleted < exact else (whole, False)
+    def most(self, size: int) -> int:
+        """The largest difference of a set of ``size`` from one that it links with."""
+        return self.differ(size + size * self.den // self.num)
+
+    def _plan(self, k: int) -> tuple[int, int]:
+        need = self.most(self.low[k + 1] - 1) + 1
+        return int(np.ceil(SLACK * need)), (need + 1) // 2 if self.low[k + 1] - 1 <= SMALL else 0
 
     def spaces(self, size: int) -> list[tuple[int, int]]:
         """``(band, largest difference)`` of the indexes in which a set of ``size`` takes part."""
         k = int(np.searchsorted(self.low, size, "right")) - 1
-        own = [(k, self.differ(size + size * self.den // self.num))]
+        own = [(k, self.most(size))]
         if k:
             own.append((k - 1, self.differ(size + self.low[k] - 1)))
         return [(b, d) for b, d in own if d]  # with no difference allowed only equal sets link
 
 
-def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of one set of distinct 64-bit tokens."""
-    out = []
+def signed(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Signatures of one set of distinct 64-bit tokens, and how many of its whole segments it
+    may leave out in bands of even and of odd number. A signature's lowest bit is the band's,
+    the next tells a deletion scheme. Empty segments count as the most common ones."""
+    out, spare = [], [0, 0]
     own = K.mix(tokens ^ K.U(0x5851F42D4C957F2D))
     for band, most in bands.spaces(len(tokens)):
-        m, deletions = bands.plans[band]
-        seg = (own % K.U(m)).astype(np.int64)
-        held = np.bincount(seg, minlength=m)
-        total = np.zeros(m, K.U)
-        np.add.at(total, seg, tokens)
-        label = (np.arange(m, dtype=K.U) + K.U(band << 40)) * K.U(0x9E3779B97F4A7C15)
-        if deletions:
-            out += [K.mix(total + label), K.mix(total[seg] - tokens + label[seg])]
-        else:
-            need = most + 1
-            bar = np.partition(held, m - need)[m - need]
-            out.append(K.mix(total + label)[held >= bar])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, K.U)
-
-
-def odd_sketch(tokens: np.ndarray) -> list[int]:
-    """256 bits: sets that differ in d elements have sketches that differ in at most d bits."""
-    odd = np.bincount((tokens >> K.U(17)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64).tolist()
+        for deletions, m in enumerate(bands.plans[band]):
+            if not m:
+                continue
+            seg = (own % K.U(m)).astype(np.int64)
+            held = np.bincount(seg, minlength=m)
+            total = np.zeros(m, K.U)
+            np.add.at(total, seg, tokens)
+            label = (np.arange(m, dtype=K.U) + K.U((2 * band + deletions) << 40)) * K.U(0x9E3779B97F4A7C15)
+            mark = lambda x, b=K.U((band & 1) + 2 * deletions): (K.mix(x) & ~K.U(3)) | b
+            if deletions:
+                out += [mark(total + label), mark(total[seg] - tokens + label[seg])]
+                continue
+            s, need = mark(total + label), most + 1
+            full, empty = s[held > 0], np.sort(s[held == 0])
+            full = np.concatenate([full, empty[: max(0, need - len(full))]])
+            spare[band & 1] = len(full) - need
+            out.append(full)
+    return (np.unique(np.concatenate(out)) if out else np.zeros(0, K.U)), spare
+
+
+def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    return signed(tokens, bands)[0]
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -112,7 +129,8 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def profile(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """Per row: doc_id, a key of the row, the set's fingerprint, size, sketch and signatures.
+    """Per row: doc_id, a digest of the row, the set's fingerprint, size, signatures and how
+    many of them it may leave out.
 
     A task gives the signatures of equal sets once, so a group of copies costs each task
     one set of them.
@@ -121,102 +139,131 @@ def profile(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
     def go(batches):
         seen: set[int] = set()
         for b in batches:
-            prints, sizes, sketches, signed = [], [], [], []
+            prints, sizes, sigs, even, odd = [], [], [], [], []
             for s in shingle_sets(b["text"], n):
                 sizes.append(len(s))
                 p = int(K.mix(np.array([np.add.reduce(K.mix(s + K.U(9))) + K.U(len(s))]))[0].view(np.int64)) if len(s) else None
                 prints.append(p)
-                sketches.append(odd_sketch(s))
                 new = p is not None and p not in seen
-                signed.append(signatures(s, bands).view(np.int64) if new else None)
+                own, spare = signed(s, bands) if new else (None, (None, None))
+                sigs.append(own.view(np.int64) if new else None)
+                even.append(spare[0])
+                odd.append(spare[1])
                 if new:
                     seen.add(p)
+            longs = [pa.array(x, pa.int64()) for x in (prints, sizes, even, odd)]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["row"], pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(signed, pa.list_(pa.int64()))],
-                ["doc_id", "row", "node", "size", "sketch", "signed"],
+                [b["doc_id"], b["row"], *longs, pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "row", "node", "size", "even", "odd", "signed"]
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(
-        go, f"doc_id {kind}, row long, node long, size long, sketch array<long>, signed array<long>"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_digest(docs).alias("row"), "text").mapInArrow(
+        go, f"doc_id {kind}, row string, node long, size long, even long, odd long, signed array<long>"
     )
 
 
-def _fits(num: int, den: int, a: str = "a.size", b: str = "b.size"):
-    """Sizes alone allow a link."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
-
-def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, by their whole texts. b may be a hot side: it is
-    the last join's key, so that its set is computed once a run of rows."""
+def allocate(rows: DataFrame, bands: Bands) -> DataFrame:
+    """``(sig, node, n)``: the signatures by which a set takes part, n being how many hold it."""
+    each = rows.where("signed is not null").select("node", F.explode("signed").alias("sig"))
+    common = settle(each.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least <> most").select("sig", "n"), "common")
+    shared = settle(each.join(common, "sig"), "shared").distinct()
+    info = rows.where("signed is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("even").alias("even"), F.first("odd").alias("odd"))
+
+    parity, deletions = F.col("sig").bitwiseAND(1), F.col("sig").bitwiseAND(2) > 0
+    own = F.size(F.filter(F.array(*[F.lit(x) for x in bands.low if x <= SMALL]), lambda x: x <= F.col("size"))) - 1
+    small = F.when(F.col("size") <= SMALL, own - (own + parity) % 2)  # the row's band, if it can have both schemes
+    placed = settle(shared.join(info, "node").withColumn("band", small), "placed")
+    lists = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    scheme = placed.where("band is not null").groupBy("band").agg((lists(deletions) < lists(~deletions)).alias("delete"))
+    by_size = [k for k, (_, near) in enumerate(bands.plans) if near]
+    chosen = placed.join(F.broadcast(scheme.where(F.col("band").isin(by_size))), "band", "left")  # a row a small band
+    delete = F.coalesce("delete", F.lit(False))
+
+    rarest_last = Window.partitionBy("node", parity).orderBy(F.desc("n"), F.desc("sig"))
+    spare = F.when(parity == 0, F.col("even")).otherwise(F.col("odd"))
+    whole = chosen.where(~deletions & ~delete).withColumn("common", F.row_number().over(rarest_last)).where(F.col("common") > spare)
+    return whole.select("sig", "node", "n").union(chosen.where(deletions & delete).select("sig", "node", "n"))
+
+
+def differences(s: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of the sorted set ``s`` isn't in ``head``, and the reverse."""
+    at = np.minimum(np.searchsorted(head, s), len(head) - 1)
+    both = head[at] == s
+    rest = np.ones(len(head), bool)
+    rest[at[both]] = False
+    return s[~both], head[rest]
+
+
+def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Per row of ``pairs(a, b)``: ``a, b, linked, size`` of a, ``apart`` (in how many elements
+    they differ) and ``tokens``, the first of these in a fixed order, as many as a meeting with
+    another set of b's can need. Many pairs may have one b."""
+    bands = Bands(num, den)
 
     def go(batches):
-        last, held = None, None
-        for b in batches:
-            fresh = []  # places where another b begins
-            for i, x in enumerate(b["b"].to_pylist()):
-                if x != last:
-                    fresh.append(i)
-                    last = x
-            others = shingle_sets(b["text_b"].take(pa.array(fresh, pa.int64())), n)
-            starts, keep = set(fresh), []
-            for i, s in enumerate(shingle_sets(b["text_a"], n)):
-                if i in starts:
-                    held = next(others)
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                keep.append(den * both >= num * (len(s) + len(held) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(go, "a long, b long")
+        head = None
+        for batch in batches:
+            a, b, linked, sizes, apart, tokens = [], [], [], [], [], []
+            for is_member, x, y, s in zip(batch["member"].to_pylist(), batch["node"].to_pylist(), batch["b"].to_pylist(), shingle_sets(batch["text"], n)):
+                if not is_member:
+                    head = s
+                    continue
+                more, less = differences(s, head)
+                d = len(more) + len(less)
+                link = d <= bands.differ(len(s) + len(head))
+                # a set linked to b meets only unlinked ones, with which it shares over num / (den + num) of its difference
+                need = SHARE + (den * d // (den + num) if link else bands.most(len(s)))
+                a.append(x), b.append(y), linked.append(link), sizes.append(len(s)), apart.append(d)
+                tokens.append(np.concatenate([more, less])[:need].view(np.int64))
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(apart, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "apart", "tokens"])
+
+    dealt = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts")), "dealt")
+    members = pairs.join(dealt, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    members = members.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(True).alias("member"), F.col("a").alias("node"), "text")
+    heads = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("node"), "text")
+    runs = heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
+    return runs.mapInArrow(go, "a long, b long, linked boolean, size long, apart long, tokens array<long>")
+
+
+def meetings(star: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: sets of one pivot, at least one of them not linked to it, that may link: by their
+    sizes the differences must have ``overlap`` elements in common, so their first ``apart -
+    overlap + k`` elements must have k, for any k up to the overlap."""
+    each = star.select("b", "a", "linked", "size", "apart", F.posexplode("tokens").alias("pos", "token"))
+    ours = F.col("pos") < F.floor(den * F.col("apart") / F.lit(den + num)) + SHARE  # all that a meeting of two unlinked sets can need
+    loose, tied = each.where("not linked"), each.where("linked")
+
+    def met(u: DataFrame, v: DataFrame, once) -> DataFrame:
+        u, v = u.alias("u"), v.alias("v")
+        most = F.floor((den - num) * (F.col("u.size") + F.col("v.size")) / F.lit(den + num))
+        overlap = F.floor((F.col("u.apart") + F.col("v.apart") - most + 1) / 2)
+        fits = (F.col("u.size") * den >= F.col("v.size") * num) & (F.col("v.size") * den >= F.col("u.size") * num)
+        asked = F.least(F.greatest(overlap, F.lit(1)), F.lit(SHARE))
+        places = (F.col("u.pos") < F.col("u.apart") - overlap + asked) & (F.col("v.pos") < F.col("v.apart") - overlap + asked)
+        same = (F.col("u.b") == F.col("v.b")) & (F.col("u.token") == F.col("v.token"))
+        return u.join(v, same & once & fits & places).select("u.b", F.col("u.a").alias("a"), F.col("v.a").alias("other"), asked.alias("asked"))
+
+    pairs = met(loose.where(ours), loose.where(ours), F.col("u.a") < F.col("v.a")).union(met(loose, tied, F.col("u.a") != F.col("v.a")))
+    enough = pairs.groupBy("b", "a", "other").agg(F.count("*").alias("n"), F.min("asked").alias("asked")).where("n >= asked")
+    return enough.select("a", F.col("other").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of ``docs``: doc_id, row (a hash of doc_id and text), size (of its set), class
-    (a number of its component; null where the set is empty)."""
+    """Per row of ``docs``: doc_id, row (a digest of the row), size (of its set), class (a
+    number of its component; null where the set is empty)."""
     prepare(docs.sparkSession)
-    bands = Bands(num, den)
-    rows = settle(profile(docs, n, bands), "profile")
-    nodes = rows.where("node is not null")
-
-    by_sig = Window.partitionBy("sig")
-    shared = settle(
-        nodes.where("signed is not null").select("node", "size", F.explode("signed").alias("sig"))
-        .withColumns({"least": F.min("node").over(by_sig), "most": F.max("node").over(by_sig)})
-        .where("least <> most").select("sig", "node", "size").dropDuplicates(["sig", "node"]),
-        "shared",
-    )
+    rows = settle(profile(docs, n, Bands(num, den)), "profile")
+    live = settle(allocate(rows, Bands(num, den)), "live")
 
     # the best-supported member of a group is most likely what the others are copies of
-    groups = shared.groupBy("sig").agg(F.count("*").alias("held"))
-    support = shared.join(groups, "sig").groupBy("node").agg(F.sum("held").alias("support"))
-    pivots = shared.join(support, "node").groupBy("sig").agg(F.max(F.struct("support", "node", "size")).alias("p"))
-    star = settle(
-        shared.join(pivots, "sig").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("size").alias("a_size"), F.col("p.size").alias("b_size"))
-        .where("a <> b").where(_fits(num, den, "a_size", "b_size")).select("a", "b").distinct(),
-        "star",
-    )
-    texts = settle(_texts(docs, nodes, shared.select("node").distinct()), "texts")
-    links = settle(verify(star, texts, n, num, den), "links")
-    roots = components(links)
-
-    # groups still in several components: all of their pairs that no component joins yet
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = placed.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("sig")
-    sketches = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
-    rest = settle(placed.join(open_groups, "sig").join(sketches, "node"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    apart = sum((F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(4)), F.lit(0))
-    near = apart <= F.floor((den - num) * (F.col("a.size") + F.col("b.size")) / F.lit(den + num))
-    cross = (
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _fits(num, den) & near)
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    )
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(verify(settle(cross.join(done, ["a", "b"], "left_anti"), "cross"), texts, n, num, den), "links")
-    roots = components(links.union(more))
+    support = live.groupBy("node").agg(F.sum("n").alias("support"))
+    pivots = settle(live.join(support, "node").groupBy("sig").agg(F.max(F.struct("support", "node")).alias("p")).select("sig", F.col("p.node").alias("b")), "pivots")
+    pairs = settle(live.join(pivots, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    texts = settle(_texts(docs, rows, pairs), "texts")
+    star = settle(compare(pairs, texts, n, num, den), "star")
+    more = settle(compare(settle(meetings(star, num, den), "meetings"), texts, n, num, den).where("linked").select("a", "b"), "links")
+    roots = components(star.where("linked").select("a", "b").union(more))
 
     return rows.select("doc_id", "row", "node", "size").join(roots, "node", "left").select("doc_id", "row", "size", F.coalesce("root", "node").alias("class"))
 
@@ -229,23 +276,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     return named.join(least, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, text)``: one whole text for each wanted node."""
-    chosen = nodes.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(node, text)``: one whole text for each node of ``pairs``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = rows.where("signed is not null").groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
+    keyed = docs.select(row_digest(docs).alias("row"), "text")
     return keyed.join(chosen, "row").select("node", "text").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one row of each component: that with the least doc_id (rows without one
-    come last; further ties go to the smaller hash of the row). Rows without words stay."""
+    come last; of rows that have it too, which one depends on all their columns, not on their
+    order). Rows without words stay, all of them."""
     named = settle(classes(docs, n, num, den), "classes")
+    row = unused(docs, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
-    kept = named.where("class is not null").groupBy("class").agg(first).select(F.col("first.row").alias("__row")).distinct()
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    one = keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi")
-    empty = named.where("class is null").select(F.col("row").alias("__row")).distinct()
-    return one.unionByName(keyed.join(empty, "__row", "left_semi")).select(*docs.columns)
+    kept = named.where("class is not null").groupBy("class").agg(first).select(F.col("first.row").alias(row)).distinct()
+    keyed = docs.withColumn(row, row_digest(docs))
+    one = keyed.join(kept, row, "left_semi").dropDuplicates([row])
+    empty = named.where("class is null").select(F.col("row").alias(row)).distinct()
+    return one.unionByName(keyed.join(empty, row, "left_semi")).drop(row)
 
 
 ORACLE = r"""

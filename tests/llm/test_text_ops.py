@@ -96,6 +96,50 @@ def test_keep_one_of_each_component(spark):
     assert ngram_join.keep_one(df.where("false")).count() == 0
 
 
+def one_cluster(seed):
+    """Copies of one text with few to many edits out of a small stock, documents that share a
+    passage, and copies with the same long footer: links lie near the bound all over."""
+    r = random.Random(seed)
+    base, stock, texts = words(r, 260), {}, []
+    for k in range(70):
+        other = list(base)
+        for _ in range(r.randint(0, 14)):
+            at = r.randrange(52) * 5
+            other[at] = stock.setdefault((at, r.randrange(2)), f"e{len(stock)}")
+        texts.append(" ".join(other + (words(r, 1) * 45 if k % 7 == 0 else [])))
+    footer = words(r, 50)
+    for k in range(12):
+        other = list(base)
+        other[100 + 3 * k] = "changed"
+        texts.append(" ".join(other + footer))
+    passage = words(r, 60)
+    return texts + [" ".join(words(r, r.choice([5, 30, 90])) + passage + words(r, 8)) for _ in range(25)]
+
+
+@pytest.mark.parametrize(("seed", "share", "dealt"), [(3, 16, 256), (4, 2, 4), (5, 1, 1)])
+def test_links_within_large_groups_equal_brute_force(spark, monkeypatch, seed, share, dealt):
+    monkeypatch.setattr(ngram_join, "SHARE", share)
+    monkeypatch.setattr(ngram_join, "DEALT", dealt)
+    texts = one_cluster(seed)
+    want = joined(list(enumerate(texts)))
+    assert 10 < len({c for _, _, c in want}) < 95
+    assert sorted(tuple(r) for r in ngram_join.ngram_jaccard_join(docs_of(spark, texts).repartition(3)).collect()) == want
+
+
+def test_ngram_join_on_odd_tables(spark):
+    r = random.Random(2)
+    long = words(r, 30_000, 10_000)
+    rows = [(None, "x y z"), (4, "x y z"), (4, "x y z"), (None, None), (None, None), (5, " ".join(long)), (6, " ".join([*long[:29_000], "end"])), (7, "")]
+    clash = ["row", "ROW_", "__row", "node", "size", "sig"]
+    df = spark.createDataFrame([(*x, *[str(k)] * 6, {"k": k}) for k, x in enumerate(rows)], f"doc_id long, text string, {', '.join(f'{c} string' for c in clash)}, m map<string,int>")
+    got = sorted(((x["doc_id"], x["component_id"]) for x in ngram_join.ngram_jaccard_join(df).collect()), key=str)
+    assert got == sorted([(None, 4), (4, 4), (4, 4), (None, None), (None, None), (5, 5), (6, 5), (7, 7)], key=str)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(x["doc_id"]), x["row"] == x["__row"]) for x in kept.collect()) == [("4", True), ("5", True), ("7", True), ("None", True), ("None", True)]
+    assert ngram_join.ngram_jaccard_join(df.where("false")).count() == 0
+
+
 def test_signatures_never_lose_a_link():
     r = np.random.default_rng(4)
     bands = ngram_join.Bands()
