@@ -55,7 +55,7 @@ SLACK = 1.2
 SMALL = 48
 #: Sets that are compared with one copy of their pivot's text.
 DEALT = 256
-#: Shared elements of their differences from a pivot, fewer only if fewer are needed, by which two sets meet.
+#: Two sets meet by an eighth of the elements that their differences from a pivot must share, at most by so many.
 SHARE = 16
 
 
@@ -239,7 +239,7 @@ def meetings(star: DataFrame, num: int, den: int) -> DataFrame:
         most = F.floor((den - num) * (F.col("u.size") + F.col("v.size")) / F.lit(den + num))
         overlap = F.floor((F.col("u.apart") + F.col("v.apart") - most + 1) / 2)
         fits = (F.col("u.size") * den >= F.col("v.size") * num) & (F.col("v.size") * den >= F.col("u.size") * num)
-        asked = F.least(F.greatest(overlap, F.lit(1)), F.lit(SHARE))
+        asked = F.least(F.greatest(F.ceil(overlap / 8), F.lit(1)), F.lit(SHARE))
         places = (F.col("u.pos") < F.col("u.apart") - overlap + asked) & (F.col("v.pos") < F.col("v.apart") - overlap + asked)
         same = (F.col("u.b") == F.col("v.b")) & (F.col("u.token") == F.col("v.token"))
         return u.join(v, same & once & fits & places).select("u.b", F.col("u.a").alias("a"), F.col("v.a").alias("other"), asked.alias("asked"))
