@@ -82,11 +82,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def row_digest(df: DataFrame) -> Column:
-    """128 bits of a row's columns, of any types and names, as text: equal rows have equal ones."""
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, of any types and names, as a hash takes them, and which are null."""
     columns = [(F.col(f"`{c.replace('`', '``')}`"), t) for c, t in df.dtypes]
     whole = [F.to_json(F.struct(c.alias("x"))) if "map<" in t or "variant" in t else c for c, t in columns]
-    whole += [c.isNull() for c, _ in columns]  # the hash passes nulls over
+    return whole + [c.isNull() for c, _ in columns]  # the hash passes nulls over
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row's columns as text: equal rows have equal ones."""
+    whole = hashable(df)
     return F.concat(F.hex(F.xxhash64(F.lit(1), *whole)), F.lit("."), F.hex(F.xxhash64(F.lit(2), *whole)))
 
 

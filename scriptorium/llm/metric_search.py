@@ -20,11 +20,12 @@ answers the search exactly.
   possible distance; ``|d(q, parent) - d(o, parent)| - radius`` passes over entries before
   any distance to them is computed.
 
-Bounds carry a slack for rounding; scores are exact (components beyond ``2**22`` after
-scaling are held there, so that sums stay exact).
+Bounds carry a slack for rounding; scores are exact: sums of components up to ``2**22`` after
+scaling are exact in doubles, and vectors with larger ones stay out of the trees and are
+scored in whole numbers of any size (scores beyond 64 bits count as the extreme long).
 
-Nulls and ties: vectors that are null, empty, or hold null or non-finite components take no
-part, nor do rows without an id; shorter vectors count as filled up with zeros; a row given
+Nulls and ties: vectors that are null or hold null or non-finite components take no part,
+nor do rows without an id; shorter vectors, empty ones too, count as filled up with zeros; a row given
 twice is one; equal scores go to the smaller id. Empty tables give no rows. Further columns
 are ignored.
 """
@@ -43,6 +44,8 @@ from .common import prepare, settle
 K, SCALE = 5, 256
 PIVOTS, TREE_ROWS, PAGE, QUERY_BLOCK = 1024, 8192, 256, 50_000
 HELD = 1 << 22
+#: Levels of a tree that follow the distances; below them pages are halved evenly, so that outliers can't make it deep.
+DEPTH = 12
 
 PAGES = (
     "array<struct<leaf:boolean,objects:binary,parent_distance:binary,radius:binary,child:binary,ids:binary,id_bounds:binary>>"
@@ -50,10 +53,10 @@ PAGES = (
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """``array<long>`` of ``floor(scale * x)``; null where the vector takes no part."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vector) > 0)
-    held = lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(HELD)), F.lit(-HELD))
-    return F.when(good, F.transform(vector, held))
+    """``array<double>`` of ``floor(scale * x)``, whole numbers; null where the vector takes no part."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).otherwise(F.lit(float(scale)) * x.cast("double"))
+    return F.when(good, F.transform(vector, whole))
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -92,7 +95,7 @@ def build(x: np.ndarray, ids: list[np.ndarray], most: float, page: int = PAGE) -
             "ids": np.concatenate(own).astype("<i8").tobytes(), "id_bounds": np.cumsum([0, *map(len, own)]).astype("<i4").tobytes(),
         }
 
-    def grow(members: np.ndarray, parent: np.ndarray | None) -> int:
+    def grow(members: np.ndarray, parent: np.ndarray | None, depth: int = 0) -> int:
         number = len(pages)
         pages.append(None)
         if len(members) <= page:
@@ -102,13 +105,13 @@ def build(x: np.ndarray, ids: list[np.ndarray], most: float, page: int = PAGE) -
         chosen = members[np.linspace(0, len(members) - 1, fan).astype(np.int64)]
         near = np.concatenate([_distances(lifted[members[k : k + 4096]], lifted[chosen]).argmin(1) for k in range(0, len(members), 4096)])
         parts = [members[near == j] for j in range(fan)]
-        if max(map(len, parts)) == len(members):  # objects too alike to part
+        if max(map(len, parts)) == len(members) or depth >= DEPTH:  # objects too alike to part, or parting one at a time
             parts = np.array_split(members, fan)
         kept = [j for j in range(fan) if len(parts[j])]
         radius = np.array([_distances(lifted[parts[j]], lifted[chosen[j]][None]).max() for j in kept])
         centres = lifted[chosen[kept]]
         far = _distances(centres, parent[None])[:, 0] if parent is not None else np.zeros(len(kept))
-        child = np.array([grow(parts[j], lifted[chosen[j]]) for j in kept], "<i4")
+        child = np.array([grow(parts[j], lifted[chosen[j]], depth + 1) for j in kept], "<i4")
         pages[number] = {
             "leaf": False, "objects": x[chosen[kept]].astype("<i4").tobytes(), "parent_distance": far.tobytes(), "radius": radius.tobytes(),
             "child": child.tobytes(), "ids": b"", "id_bounds": b"",
@@ -255,6 +258,56 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     spark = vectors.sparkSession
     prepare(spark)
     known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), is_query.alias("q")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    large = F.exists("v", lambda x: F.abs(x) > HELD)
+    if known.where(large).limit(1).count():
+        found = _tree_search(known.where(~large), k, tree_rows, page, query_block).unionByName(_exact_search(known, large, k, query_block))
+    else:
+        found = _tree_search(known, k, tree_rows, page, query_block)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # a query id that has two vectors may meet one candidate twice: its better score counts
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact_search(known: DataFrame, large: Column, k: int, query_block: int) -> DataFrame:
+    """Scores of the pairs in which one vector has components too large for exact doubles, in
+    Python's integers: large candidates for all queries and all candidates for large queries.
+    Queries are sent in blocks; each task keeps its k best for a query. Scores beyond 64 bits
+    count as the largest or smallest long."""
+    parts = []
+    for asked, candidates in ((known.where("q"), known.where(large)), (known.where("q").where(large), known.where(~large))):
+        asked = settle(asked.select("vec_id", "v").distinct(), "queries")
+        blocks = -(-asked.count() // query_block)
+        for n in range(blocks):
+            rows = [(r["vec_id"], [int(x) for x in r["v"]]) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()]  # about query_block rows
+
+            def go(batches, rows=rows):
+                best: list[dict[int, int]] = [{} for _ in rows]
+                for b in batches:
+                    for i, v in zip(b["vec_id"].to_pylist(), b["v"].to_pylist(), strict=True):
+                        v = [int(x) for x in v]
+                        for (q, w), own in zip(rows, best, strict=True):
+                            if q != i:
+                                s = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(v, w))))
+                                own[i] = max(own.get(i, s), s)
+                                if len(own) > 4 * k + 16:
+                                    for j in sorted(own, key=lambda j: (-own[j], j))[k:]:
+                                        del own[j]
+                out = [(q, i, own[i]) for (q, _), own in zip(rows, best, strict=True) for i in sorted(own, key=lambda j: (-own[j], j))[:k]]
+                cols = list(zip(*out, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+            parts.append(candidates.select("vec_id", "v").mapInArrow(go, "query_id long, vec_id long, score long"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def _tree_search(known: DataFrame, k: int, tree_rows: int, page: int, query_block: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: more than enough rows for each query, the k best among them."""
+    spark = known.sparkSession
+    known = known.withColumn("v", F.col("v").cast("array<long>"))
     trees, about = index(known.select("vec_id", "v"), k, tree_rows, page)
     asked = settle(known.where("q").groupBy("vec_id", "v").agg(F.lit(1).alias("one")).select("vec_id", "v"), "queries")
     roots = trees.select("tree", "centre").where("tree % (1L << 32) = 0").orderBy("tree").limit(PIVOTS).collect()  # one a cell: PIVOTS at most
@@ -277,22 +330,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         block = block | {"bound": np.array([bound.get(i, -np.inf) for i in block["ids"]], float)}
         parts += [first, settle(_search(trees, about, block, k, False), "far")]
     if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, vec_id long, score long")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a query id that has two vectors may meet one candidate twice: its better score counts
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id,
-             CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+             CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
       FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

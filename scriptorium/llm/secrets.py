@@ -2,7 +2,7 @@
 
 All of it is column expressions. A pattern's matches are bracketed in the text by two
 private characters (which, where a text has them itself, first become ``?``, so that
-places keep), the text is split at them, and a fold over the pieces gives places in code
+places keep), the text is split at them, and sums of the pieces' lengths give places in code
 points.
 
 The battery reads every run of 16 or more letters, digits, ``+ / _ -`` (and closing ``=``).
@@ -18,8 +18,9 @@ get a stricter bar.
 
 Nulls and ties: a null text is empty and has no spans; a null doc_id is kept; repeated
 rows come back as often as given; spans that start together are ordered assign, access,
-hex, random. Further columns are kept by ``scan`` and ``redact`` and may have any names but
-those in ``NAMES``; ``secret_scan`` reads doc_id and text alone.
+hex, random. Further columns are kept by ``scan`` and ``redact``, whatever their names;
+``secret_scan`` reads doc_id and text alone. An empty table gives no rows; very long texts
+are scanned whole.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ FDR = 0.05
 LIMIT = 16.27  # the 0.1 % point of chi-squared with three degrees of freedom
 STEP = 0.5
 OPEN, CLOSE = "", ""
-NAMES = ("__base", "__runs", "__spans")
+#: Pieces whose lengths are summed one by one; between such blocks running sums are kept, so that many matches in one text stay cheap.
+BLOCK = 64
 
 
 def _quoted(s: str) -> str:
@@ -55,14 +57,21 @@ def _quoted(s: str) -> str:
 
 def places(text: str, pattern: str) -> Column:
     """``array<struct<s, m>>``: start and text of each leftmost match of ``pattern`` in column ``text``."""
-    fold = f"""
+    # where a piece begins: running sums of whole blocks of pieces, and a sum within one block
+    total = "aggregate(slice({0}), 0, (a, x) -> a + x)".format
+    starts = f"""
     aggregate(
-      slice(__p, 2, size(__p)), named_struct('at', length(__p[0]), 'out', cast(array() as array<struct<s:int,m:string>>)),
-      (a, x) -> named_struct('at', a.at + length(x) - 1,
-                             'out', array_append(a.out, named_struct('s', a.at, 'm', substring_index(x, '{CLOSE}', 1)))),
-      a -> a.out)"""
+      transform(sequence(0, (size(__n) - 1) div {BLOCK}), b -> {total(f"__n, b * {BLOCK} + 1, {BLOCK}")}),
+      named_struct('at', 0, 'out', cast(array() as array<int>)),
+      (a, x) -> named_struct('at', a.at + x, 'out', array_append(a.out, a.at)), a -> a.out)"""
+    found = f"""
+    transform(sequence(1, size(__p) - 1), i -> named_struct(
+      's', __b[i div {BLOCK}] + {total(f"__n, (i div {BLOCK}) * {BLOCK} + 1, i % {BLOCK}")},
+      'm', substring_index(__p[i], '{CLOSE}', 1)))"""
+    lengths = "transform(__p, (x, i) -> length(x) - if(i = 0, 0, 1))"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     marked = f"split(regexp_replace({text}, {_quoted(pattern)}, '{OPEN}$0{CLOSE}'), '{OPEN}')"
-    one = f"element_at(transform(array({marked}), __p -> {fold}), 1)"
+    one = let("__p", marked, let("__n", lengths, let("__b", starts, found)))
     return F.expr(f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN {one} ELSE cast(array() as array<struct<s:int,m:string>>) END")
 
 
@@ -70,17 +79,26 @@ def _spans(found: str, kind: int) -> Column:
     return F.transform(F.col(found), lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), (x["s"] + F.length(x["m"])).alias("e")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once, whatever loops stand in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _tests(run: Column) -> Column:
     """``struct<s, e, band, decoy, bin>`` of one candidate run."""
-    text, bare = run["m"], F.regexp_replace(run["m"], "=+$", "")
-    kind = (
-        F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    )
-    size = F.when(kind == "hex", 16.0).when(kind == "base32", 32.0).otherwise(64.0)
-    alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    plain = F.translate(F.when(kind == "hex", F.lower(bare)).otherwise(bare), "-_", "+/")
-    values = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    return F.transform(F.array(F.struct(values.alias("v"), size.alias("a"))), lambda x: _score(x["v"], x["a"], text, run["s"], kind))[0]
+
+    def of_bare(bare: Column) -> Column:
+        kind = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+        return _let(kind, lambda k: of_kind(bare, k))
+
+    def of_kind(bare: Column, kind: Column) -> Column:
+        size = F.when(kind == "hex", 16.0).when(kind == "base32", 32.0).otherwise(64.0)
+        alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
+        plain = F.split(F.translate(F.when(kind == "hex", F.lower(bare)).otherwise(bare), "-_", "+/"), "")
+        values = _let(alphabet, lambda a: F.transform(plain, lambda c: F.instr(a, c).cast("double") - 1))
+        return _let(F.struct(values.alias("v"), size.alias("a")), lambda x: _score(x["v"], x["a"], run["m"], run["s"], kind))
+
+    return _let(F.regexp_replace(run["m"], "=+$", ""), of_bare)
 
 
 def _score(v: Column, a: Column, text: Column, start: Column, kind: Column) -> Column:
@@ -105,21 +123,21 @@ def _score(v: Column, a: Column, text: Column, start: Column, kind: Column) -> C
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base spans in ``__base`` and the tested runs in ``__runs``."""
-    clean = docs.withColumn("__t", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, "??"))
-    found = clean.withColumns({"__a": places("__t", ASSIGN), "__k": places("__t", ACCESS), "__h": places("__t", HEX), "__r": places("__t", RUN)})
-    long_enough = F.filter("__a", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
-    base = found.withColumn("__a", long_enough).withColumn(
-        "__base", F.array_sort(F.concat(_spans("__a", 0), _spans("__k", 1), _spans("__h", 2)))
-    )
-    return base.withColumn("__runs", F.transform("__r", _tests)).drop("__t", "__a", "__k", "__h", "__r")
+    """Per row of ``docs`` its columns in ``row``, its ``text``, the base spans in ``base`` and the
+    tested runs in ``runs``."""
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    clean = docs.select(whole.alias("row"), "text").withColumn("t", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, "??"))
+    found = clean.withColumns({"a": places("t", ASSIGN), "k": places("t", ACCESS), "h": places("t", HEX), "r": places("t", RUN)})
+    long_enough = F.filter("a", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
+    base = found.withColumn("a", long_enough).withColumn("base", F.array_sort(F.concat(_spans("a", 0), _spans("k", 1), _spans("h", 2))))
+    return base.select("row", "text", "base", F.transform("r", _tests).alias("runs"))
 
 
 def bars(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:
     """The highest bin that is still taken, by encoding and length band: at most 18 of them
     reach the driver, from counts in at most 18 times 2001 bins."""
     counts = (
-        tested.select(F.explode("__runs").alias("r")).groupBy(F.col("r.band").alias("band"), F.least(F.col("r.bin"), F.lit(int(LIMIT / STEP))).alias("bin"))
+        tested.select(F.explode("runs").alias("r")).groupBy(F.col("r.band").alias("band"), F.least(F.col("r.bin"), F.lit(int(LIMIT / STEP))).alias("bin"))
         .agg(F.count_if(F.col("r.decoy")).alias("decoys"), F.count_if(~F.col("r.decoy")).alias("others"))
     )
     upto = "OVER (PARTITION BY band ORDER BY bin)"
@@ -129,13 +147,14 @@ def bars(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``: sorted arrays of ``struct<s, k, e>``, k a number in KINDS."""
+    """Per row of ``docs`` its columns in ``row``, its ``text``, and ``base`` and ``spans``: sorted
+    arrays of ``struct<s, k, e>``, k a number in KINDS."""
     tested = settle(candidates(docs), "secrets")
     bar = bars(tested, fdr)
     most = F.lit(-1)
-    pick = F.filter("__runs", lambda r: ~r["decoy"] & (r["bin"] <= _of(bar, r["band"], most)))
+    pick = F.filter("runs", lambda r: ~r["decoy"] & (r["bin"] <= _of(bar, r["band"], most)))
     more = F.transform(pick, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("k"), r["e"].alias("e")))
-    return tested.withColumn("__spans", F.array_sort(F.concat("__base", more))).drop("__runs")
+    return tested.select("row", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def _of(bar: dict[str, int], band: Column, other: Column) -> Column:
@@ -154,10 +173,10 @@ def written(spans: str) -> Column:
 def secret_scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = scan(docs.select("doc_id", "text"), fdr)
-    count = lambda k: F.size(F.filter("__base", lambda x: x["k"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(written("__base"), 256).alias("base_sha256"), written("__spans").alias("spans"),
+        F.col("row.doc_id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"),
     )
 
 
@@ -166,16 +185,17 @@ def redact(docs: DataFrame, fdr: float = FDR, mark: str = "[secret]") -> DataFra
     ``n_chars``, where there is such a column, made anew; columns and rows stay."""
     found = scan(docs, fdr)
     step = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mark)).alias("out")))
         .otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    out = found.withColumn("text", F.when(F.size("__spans") > 0, step).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(F.size("spans") > 0, step).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:

@@ -18,7 +18,7 @@ def brute(rows, k):
     """(vec_id, vector) rows, by the contract."""
     ok = {}
     for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             ok.setdefault(i, []).append([int(np.floor(256 * float(x))) for x in v])
     out = []
     for q, qs in ok.items():
@@ -48,6 +48,23 @@ def test_topk_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
 
 
+def test_large_components_and_empty_vectors_score_exactly(spark):
+    r = random.Random(7)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, [r.uniform(-1, 1) * 10 ** r.randint(3, 7) for _ in range(4)]) for i in range(20)] + [(105, [1e5, 0.3, -0.2, 77777.1]), (200, []), (201, []), (202, [40_000.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = M.top_k(df, F.col("vec_id") % 5 == 0, tree_rows=16, page=4, query_block=7)
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows, 5)
+
+
+def test_trees_of_outliers_stay_shallow():
+    x = np.array([[float(4**min(i, 10)) + i, 0.0] for i in range(3000)])
+    most = float((x * x).sum(1).max())
+    tree = M.Tree(M.build(x, [np.array([i]) for i in range(len(x))], most, 4), 2, most)
+    want = sorted(((-int(v), i) for i, v in enumerate(x @ x[7]) if i != 7))[:5]
+    assert tree.search(x[7], 7, 5, -np.inf) == [(-a, i) for a, i in want]
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in M.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 3, 256 * 128)]
@@ -112,6 +129,52 @@ def test_second_writer_conflicts_and_old_version_stays(spark):
     assert store.snapshot(1).count() == df.count() and store.snapshot().count() == 2 * df.count()
 
 
+def test_older_versions_stay_and_a_writer_during_compaction_loses_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, "p", "s", "a") for r in sample(60)], DOCS + ", __path string, SHARD string, arrival string").repartition(6)
+    store = shards.Store(spark, scratch(spark, "t"), df.schema)
+    assert store.append_each(df, F.pmod(F.xxhash64("doc_id"), F.lit(3)), 3) == 3
+    old = [multiset(store.snapshot(v)) for v in (1, 2, 3)]
+    late = shards.Store(spark, store.root, df.schema)
+    real, calls = shards.Store._described, []
+
+    def described(self, folder, version):
+        if not calls:  # while the merged files are described, another writer commits
+            calls.append(folder)
+            late.append(df.limit(5))
+        return real(self, folder, version)
+
+    monkeypatch.setattr(shards.Store, "_described", described)
+    with pytest.raises(shards.Conflict):
+        store.compact(target=1 << 20)
+    assert sum(multiset(store.snapshot()).values()) == df.count() + 5
+    version = store.compact(target=1 << 20)
+    assert [multiset(store.snapshot(v)) for v in (1, 2, 3)] == old
+    assert sum(multiset(store.snapshot()).values()) == df.count() + 5 and store.snapshot().columns == df.columns
+    shard = store.placed().columns[-1]
+    assert shard == "shard_" and store.placed().where(F.col(shard)["added"] <= version).count() == df.count() + 5
+    last = multiset(store.snapshot())
+    store.vacuum(keep=1)  # all is younger than a day
+    assert multiset(store.snapshot()) == last
+    store.vacuum(keep=1, older_than=-1)
+    assert multiset(store.snapshot()) == last and store.versions() == [version]
+
+
+def test_tiers_and_files_against_plain_rules(spark):
+    r = random.Random(4)
+    for _ in range(30):
+        sizes, target = [r.randrange(1, 50) for _ in range(r.randrange(1, 30))], 100
+        bins = []
+        for size in sorted(sizes, reverse=True):
+            if not bins or sum(bins[-1]) + size > target:
+                bins.append([])
+            bins[-1].append(size)
+        assert shards._files(sizes, target) == len(bins)
+    store = shards.Store(spark, scratch(spark, "t"), spark.createDataFrame([], DOCS).schema)
+    sizes = [1, shards.SMALLEST, 4 * shards.SMALLEST - 1, 4 * shards.SMALLEST, 16 * shards.SMALLEST, 70 * shards.SMALLEST]
+    store.commit(spark.createDataFrame([(f"/shards/x/{n}", 1, n, 0, 1) for n in sizes], "path string, rows long, bytes long, checksum long, added long").selectExpr("path", "rows", "bytes", "cast(checksum as decimal(38,0)) checksum", "added"), 0)
+    assert [x["tier"] for x in store.tiers().orderBy("bytes").collect()] == [0, 0, 0, 1, 2, 3]
+
+
 def test_compaction_of_nothing(spark):
     out = shards.size_tiered_compaction(spark.createDataFrame([], DOCS), scratch(spark, "t"))
     assert out.count() == 0 and out.columns == ["doc_id", "n_bytes", "shard_id", "shard_rows", "shard_bytes", "added", "version"]

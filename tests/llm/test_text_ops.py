@@ -378,6 +378,22 @@ def test_redaction(spark):
         assert rows[i]["text"] == text and (text is None or not merged or rows[i]["n_chars"] == len(text))
 
 
+def test_secrets_in_odd_tables(spark):
+    r = random.Random(3)
+    dump = "\n".join(" ".join(f"{r.randrange(1 << 64):016x}" for _ in range(4)) for _ in range(900)) + " token=abcdefgh12345678 é " + "x" * 200_000
+    rows = [(1, dump), (1, dump), (None, "password: aaaabbbbcccc1"), (3, None), (4, "")]
+    names = ["__t", "row", "base", "spans", "Runs", "t"]
+    df = spark.createDataFrame([(*x, *[f"{n}!" for n in names], 5) for x in rows], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}, n_chars int")
+    got = {(x["doc_id"], x["n_hex"], x["base_sha256"]) for x in secrets.secret_scan(df).collect()}
+    said = lambda t: hashlib.sha256(",".join(f"{['assign', 'access', 'hex'][k]}:{s}:{e}" for s, k, e in base_spans(t or "")).encode()).hexdigest()
+    assert got == {(i, sum(k == 2 for _, k, _ in base_spans(t or "")), said(t)) for i, t in rows} and secrets.secret_scan(df).count() == 5
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    texts = sorted((str(x["doc_id"]), x["text"] or "", x["n_chars"], [x[n] for n in names]) for x in out.collect())
+    assert all(x[3] == [f"{n}!" for n in names] for x in texts) and texts[-1][1] == "[secret]" and texts[-1][2] == 8
+    assert texts[0][1].count("[secret]") == 3601 and texts[0][1].endswith(" é " + "x" * 200_000) and texts[0] == texts[1]
+
+
 # ---------------------------------------------------------------- licences, chat
 
 
