@@ -43,8 +43,11 @@ def tokenize(c: Column) -> Column:
 
 
 def content_terms(c: Column) -> Column:
-    stop = strings(W.STOP_WORDS)
-    return F.filter(tokenize(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(tokenize(c), lambda t: (F.length(t) > 1) & ~stop_word(t))
+
+
+def stop_word(t: Column) -> Column:
+    return t.isin(*W.STOP_WORDS)
 
 
 def word_count(c: Column) -> Column:
@@ -103,8 +106,7 @@ def normalize(c: Column) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    stop = strings(W.STOP_WORDS)
-    return F.filter(F.split(normalize(c), " "), lambda t: (F.length(t) > 0) & ~F.array_contains(stop, t))
+    return F.filter(F.split(normalize(c), " "), lambda t: (F.length(t) > 0) & ~stop_word(t))
 
 
 def initials(ws: Column) -> Column:

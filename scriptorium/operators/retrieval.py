@@ -2,6 +2,9 @@
 
 A corpus is any DataFrame with ``doc_id`` and ``text``. Query terms are few beside the
 corpus, so postings are built for them alone: one shuffle of (document, query term) counts.
+``index`` tokenises a corpus once; what ranks it takes such an index and makes one otherwise.
+What is counted within a document deals whole texts by document first, so that neither the
+counts nor the windows after them move its words again.
 """
 
 from __future__ import annotations
@@ -11,13 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..sources.scratch import settle
 
 K1, B = 1.4, 0.75
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").repartition("doc_id")
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """``doc_id, length, terms`` of each document, written once for all that reads it."""
+    terms = docs.select("doc_id", T.content_terms(F.col("text")).alias("terms"))
+    return settle(terms.select("doc_id", F.size("terms").cast("long").alias("length"), "terms"), "index")
+
+
 def term_frequency(docs: DataFrame) -> DataFrame:
     """``doc_id, term, tf``."""
-    return docs.select("doc_id", F.explode(T.content_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return by_document(docs).select("doc_id", F.explode(T.content_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -27,8 +41,11 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: ``n`` and the average number of content terms (1 where there are none)."""
-    size = F.size(T.content_terms(F.col("text")))
-    return docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(size), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    return _stats(docs.select(F.size(T.content_terms(F.col("text"))).alias("length")))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -50,26 +67,26 @@ def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", t
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, doc_id, score, rank``: Okapi BM25 over exact terms."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, score, rank``: Okapi BM25 over exact terms; ``known`` is the corpus's ``index``."""
+    terms = index(docs) if known is None else known
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
-    terms = docs.select("doc_id", T.content_terms(F.col("text")).alias("terms"))
     postings = (
-        terms.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+        terms.select("doc_id", "length", F.explode("terms").alias("term"))
         .join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("f"))
     )
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return top(_scored(asked.join(df, "term").join(postings, "term"), corpus_stats(docs)), k)
+    return top(_scored(asked.join(df, "term").join(postings, "term"), _stats(terms)), k)
 
 
-def bm25_stemmed(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def bm25_stemmed(docs: DataFrame, queries: DataFrame, k: int = 5, known: DataFrame | None = None) -> DataFrame:
     """As ``bm25``; a document without a query term counts its first word of the same light stem instead."""
+    terms = index(docs) if known is None else known
     asked = query_terms(queries).withColumn("stem", T.stem_light(F.col("term")))
     wanted = asked.select("stem").distinct()
-    terms = docs.select("doc_id", T.content_terms(F.col("text")).alias("terms"))
     words = (
-        terms.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "word"))
+        terms.select("doc_id", "length", F.posexplode("terms").alias("pos", "word"))
         .withColumn("stem", T.stem_light(F.col("word"))).join(wanted, "stem", "left_semi")
         .groupBy("doc_id", "length", "stem", "word").agg(F.count("*").alias("f"), F.min("pos").alias("first"))
     )
@@ -77,7 +94,7 @@ def bm25_stemmed(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = asked.join(words.join(df, "word"), "stem")
     exact = F.when(F.col("word") == F.col("term"), 0).otherwise(1)
     best = found.groupBy("query_id", "term", "doc_id", "length").agg(F.min_by(F.struct("f", "df"), F.struct(exact, F.col("first"))).alias("b"))
-    return top(_scored(best.select("query_id", "doc_id", "length", F.col("b.f").alias("f"), F.col("b.df").alias("df")), corpus_stats(docs)), k)
+    return top(_scored(best.select("query_id", "doc_id", "length", F.col("b.f").alias("f"), F.col("b.df").alias("df")), _stats(terms)), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -151,14 +168,11 @@ def centroid_scores(docs: DataFrame) -> DataFrame:
 
     Everything is per document: a window over (document, term) gives frequencies, so a term
     common to all documents makes no large group."""
-    terms = T.content_terms(F.col("text"))
-    usable = sentences(docs).where((F.size(terms) >= 4) & (T.word_count(F.col("text")) <= 70))
-    tf = (
-        usable.select("doc_id", "sent_idx", F.explode(terms).alias("term")).groupBy("doc_id", "sent_idx", "term").agg(F.count("*").alias("tf"))
-    )
-    counts = usable.groupBy("doc_id").agg(F.count("*").alias("n"))
+    split = sentences(docs).withColumn("terms", T.content_terms(F.col("text")))
+    usable = settle(split.where((F.size("terms") >= 4) & (T.word_count(F.col("text")) <= 70)), "sentences").repartition("doc_id")
+    tf = usable.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).select("doc_id", "sent_idx", "n", F.explode("terms").alias("term")).groupBy("doc_id", "sent_idx", "n", "term").agg(F.count("*").alias("tf"))
     by_term = Window.partitionBy("doc_id", "term")
-    weighed = tf.join(counts, "doc_id").select(
+    weighed = tf.select(
         "doc_id", "sent_idx", "term",
         (F.col("tf") * F.log(1 + F.col("n") / F.count("*").over(by_term))).alias("w"),
     ).withColumn("c", F.sum("w").over(by_term))
@@ -170,7 +184,7 @@ def centroid_scores(docs: DataFrame) -> DataFrame:
     root = F.sqrt(F.col("ww") * F.col("cc"))
     return (
         total.withColumn("score", F.round(F.col("dot") / F.when(root == 0, 1.0).otherwise(root) + prior, 6))
-        .join(usable, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "text", "score")
+        .join(usable.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "text", "score")
     )
 
 
@@ -213,21 +227,19 @@ def summarize(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> D
 
 def keyword_candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, term, weight, first_pos``: words count 1 and pairs of neighbours 1.5."""
-    stop = T.strings(W.STOP_WORDS)
-    known = lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)
-    tokens = T.tokenize(F.col("text"))
+    known = F.transform(T.tokenize(F.col("text")), lambda w: F.when((F.length(w) > 2) & ~T.stop_word(w), w))  # null: in no candidate
 
     def entries(ts: Column) -> Column:
         def at(w: Column, i: Column) -> Column:
             after = F.get(ts, i + 1)
-            single = F.when(known(w) & ~w.rlike(r"^\d+$"), F.struct((i * 2).alias("pos"), w.alias("term"), F.lit(1.0).alias("w")))
-            pair = F.when(after.isNotNull() & known(w) & known(after), F.struct((i * 2 + 1).alias("pos"), F.concat_ws(" ", w, after).alias("term"), F.lit(1.5).alias("w")))
+            single = F.when(w.isNotNull() & ~w.rlike(r"^\d+$"), F.struct((i * 2).alias("pos"), w.alias("term"), F.lit(1.0).alias("w")))
+            pair = F.when(w.isNotNull() & after.isNotNull(), F.struct((i * 2 + 1).alias("pos"), F.concat_ws(" ", w, after).alias("term"), F.lit(1.5).alias("w")))
             return F.array_compact(F.array(single, pair))
 
         return F.flatten(F.transform(ts, at))
 
     return (
-        docs.select("doc_id", F.explode(T.let(tokens, entries)).alias("e"))
+        by_document(docs).select("doc_id", F.explode(T.let(known, entries)).alias("e"))
         .groupBy("doc_id", F.col("e.term").alias("term")).agg(F.sum("e.w").alias("weight"), F.min("e.pos").alias("first_pos"))
     )
 
@@ -236,8 +248,9 @@ def keywords(docs: DataFrame, n: int = 8, pool: int = 200) -> DataFrame:
     """``doc_id, rank, term``: terms by weight (ties: first seen), none part of another. A
     document's ``pool`` best candidates are enough unless most of them contain one another; where
     fewer than ``n`` are found among them, the document is done again with all of its candidates."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "first_pos")
-    ranked = keyword_candidates(docs).withColumn("r", F.row_number().over(order))
+    per = Window.partitionBy("doc_id")
+    ranked = keyword_candidates(docs).withColumns({"r": F.row_number().over(per.orderBy(F.desc("weight"), "first_pos")), "of": F.count("*").over(per)})
+    best = settle(ranked.where(F.col("r") <= pool), "candidates")
 
     def greedy(rows: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("r", "term", "weight")))
@@ -251,10 +264,14 @@ def keywords(docs: DataFrame, n: int = 8, pool: int = 200) -> DataFrame:
 
         return listed.select("doc_id", F.aggregate("c", start, step).alias("terms"), (F.size("c") < F.col("of")).alias("more"), (F.element_at("c", -1)["weight"] >= 2).alias("heavy"))
 
-    counted = ranked.withColumn("of", F.count("*").over(Window.partitionBy("doc_id")))
-    first = greedy(counted.where(F.col("r") <= pool))
+    first = settle(greedy(best), "picked")
     short = F.col("more") & F.col("heavy") & (F.size("terms") < n)
-    again = greedy(counted.join(first.where(short).select("doc_id"), "doc_id", "left_semi"))
+    unfinished = first.where(short).select("doc_id")
+    if not unfinished.limit(1).count():
+        done = first.select("doc_id", "terms")
+        return done.select("doc_id", F.posexplode("terms").alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
+    wanted = docs.join(unfinished, "doc_id", "left_semi")
+    again = greedy(keyword_candidates(wanted).withColumns({"r": F.row_number().over(per.orderBy(F.desc("weight"), "first_pos")), "of": F.count("*").over(per)}))
     done = first.where(~short).select("doc_id", "terms").unionByName(again.select("doc_id", "terms"))
     return done.select("doc_id", F.posexplode("terms").alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
 
@@ -268,9 +285,8 @@ def acronyms(docs: DataFrame, most: int = 30) -> DataFrame:
 
 def frequent_words(docs: DataFrame, most: int = 80) -> DataFrame:
     """``doc_id, rank, word, n``: a document's most frequent longer words."""
-    stop = T.strings(W.STOP_WORDS)
-    good = lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$")
-    counts = docs.select("doc_id", F.posexplode(F.split(T.normalize(F.col("text")), " ")).alias("pos", "word")).where(good(F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    good = lambda w: (F.length(w) > 3) & ~T.stop_word(w) & ~w.rlike(r"^\d+$")
+    counts = by_document(docs).select("doc_id", F.posexplode(F.split(T.normalize(F.col("text")), " ")).alias("pos", "word")).where(good(F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id", "rank", "word", "n")
 

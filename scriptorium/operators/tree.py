@@ -1,36 +1,48 @@
 """Trees as adjacency lists ``(id, kind, name, parent_id, ...)``: closure, order, moves, copies, audit.
 
-The closure (every node with each of its ancestors) is one recursive query; each operator
-is then a join with it. A walk upwards stops at a missing parent, and after ``MOST_DEPTH`` steps.
+The closure (every node with each of its ancestors) is made by doubling: paths of up to 2, 4,
+8 ... steps, each round one join, so rounds grow with the logarithm of the depth, and neither
+depth nor the number of nodes has a limit. What lies below one node is found in as many rounds
+from one row a node, without the closure. A walk upwards stops at a missing parent; parents in
+a circle are an error.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settle
 
-MOST_DEPTH = 30
 AUDIT_ACTIONS = ("add", "upload", "rename", "exam", "icon", "edit", "move", "copy", "move-course", "swap-course")
 
 
+class Circle(ValueError):
+    """A node is its own ancestor."""
+
+
+def _known_parents(nodes: DataFrame) -> DataFrame:
+    """``id, parent``: the parent is null where there is none or no such node."""
+    known = nodes.select(F.col("id").alias("parent")).distinct()
+    edges = nodes.select("id", "parent_id").distinct()
+    return edges.join(known, edges["parent_id"] == known["parent"], "left").select("id", "parent")
+
+
 def closure(nodes: DataFrame) -> DataFrame:
     """``id, ancestor, depth``: every node with itself (0), its parent (1) and so on."""
-    spark, name = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}"
-    nodes.select("id", "parent_id").createOrReplaceTempView(name)
-    try:
-        return spark.sql(f"""
-            WITH RECURSIVE up(id, ancestor, depth) AS (
-              SELECT id, id, 0 FROM {name}
-              UNION ALL
-              SELECT up.id, p.parent_id, up.depth + 1 FROM up JOIN {name} p ON up.ancestor = p.id JOIN {name} known ON p.parent_id = known.id
-              WHERE up.depth < {MOST_DEPTH})
-            SELECT id, ancestor, depth FROM up""")
-    finally:
-        spark.catalog.dropTempView(name)
+    steps = 1
+    found = last = settle(_known_parents(nodes).where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "up")
+    while last.where(F.col("depth") == steps).limit(1).count():
+        if last.where("id = ancestor").limit(1).count():
+            raise Circle("parents in a circle")
+        # paths of exactly ``steps`` steps, lengthened by all known ones
+        far = last.where(F.col("depth") == steps).select("id", F.col("ancestor").alias("via"), "depth")
+        near = found.select(F.col("id").alias("via"), "ancestor", F.col("depth").alias("more"))
+        last = settle(far.join(near, "via").select("id", "ancestor", (F.col("depth") + F.col("more")).alias("depth")), "up")
+        found = found.unionByName(last)
+        steps *= 2
+    return nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct().unionByName(found)
 
 
 def kind_order(kind: Column) -> Column:
@@ -51,8 +63,31 @@ def paths(nodes: DataFrame, separator: str = " › ") -> DataFrame:
 
 
 def descendants(nodes: DataFrame, root: Column) -> DataFrame:
-    """``id, depth`` of everything below and including the node ``root``."""
-    return closure(nodes).where(F.col("ancestor") == root).select("id", "depth")
+    """``id, depth`` of everything below and including the node ``root``. Each row knows how far
+    it is from the root, if that is less than the steps so far, and who is that many steps up."""
+    is_root = F.col("id") == root
+    state = _known_parents(nodes).select("id", F.when(~is_root, F.col("parent")).alias("up"), F.when(is_root, 0).alias("depth"))
+    steps = 1
+    state = settle(state, "below")
+    while state.where("up is not null and depth is null").limit(1).count():
+        if steps > 1 << 40:
+            raise Circle("parents in a circle")
+        over = state.select(F.col("id").alias("up"), F.col("up").alias("beyond"), F.col("depth").alias("over"))
+        joined = state.join(over, "up", "left")
+        state = settle(joined.select("id", F.col("beyond").alias("up"), F.coalesce("depth", F.col("over") + steps).alias("depth")), "below")
+        steps *= 2
+    return state.where("depth is not null").select("id", "depth")
+
+
+def preorder(nodes: DataFrame, root: Column) -> DataFrame:
+    """``id, depth, place``: the descendants of ``root``, parents before children and these as
+    ``children`` orders them; ``place`` is an array by which rows sort so."""
+    below = descendants(nodes, root)
+    sort_key = F.struct(kind_order(F.col("kind")).alias("kind"), T.natural_key(F.col("name")).alias("name"), F.col("id").alias("id"))
+    inside = nodes.join(below, "id", "left_semi")
+    named = closure(inside).join(nodes.select(F.col("id").alias("ancestor"), sort_key.alias("k")), "ancestor")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "k"))), lambda x: x["k"])
+    return named.groupBy("id").agg(ordered.alias("place")).join(below, "id").select("id", "depth", "place")
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:

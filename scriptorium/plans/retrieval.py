@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import folds, study
 from ..operators import retrieval as R
-from ..sources.tables import lines, pages, table
+from ..sources.tables import lines, pages, spread, table
 from . import sql as S
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,9 @@ def relevance_scale(spark, d):
 
 
 def rrf_fuse(spark, d):
-    exact, stemmed = R.bm25(_docs(spark, d), _asked(spark, d), 8), R.bm25_stemmed(_docs(spark, d), _asked(spark, d), 8)
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    known = R.index(docs)
+    exact, stemmed = R.bm25(docs, asked, 8, known), R.bm25_stemmed(docs, asked, 8, known)
     return R.fuse([(exact, 1.0), (stemmed, 1.25)], 5).select("query_id", "doc_id", "score", "rank")
 
 

@@ -8,13 +8,13 @@ from ..functions import text as T
 from ..functions import words as W
 from ..operators import planning, scoring, signal, study
 from ..operators import retrieval as R
-from ..sources.tables import lines, pages, table
+from ..sources.tables import lines, pages, spread, table
 from . import sql as S
 from .retrieval import _KEYS as R_SQL
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def definitions(spark, d):

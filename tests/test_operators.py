@@ -36,9 +36,22 @@ def test_tree(spark, nodes):
     assert [r["problem"] for r in tree.transfer_problem(nodes, asked).orderBy("id", "target").collect()] == ["already there", None, "no such node", "a folder cannot go inside itself", "a file needs a folder"]
 
 
-def test_cyclic_parents_end(spark):
-    loop = spark.createDataFrame([("a", "folder", "A", "b"), ("b", "folder", "B", "a")], "id string, kind string, name string, parent_id string")
-    assert tree.closure(loop).count() == 2 * (tree.MOST_DEPTH + 1)
+def test_cyclic_parents_are_an_error(spark):
+    loop = spark.createDataFrame([("a", "folder", "A", "b"), ("b", "folder", "B", "c"), ("c", "folder", "C", "a"), ("d", "file", "D", "a")], "id string, kind string, name string, parent_id string")
+    with pytest.raises(tree.Circle):
+        tree.closure(loop)
+    with pytest.raises(tree.Circle):
+        tree.descendants(loop, F.lit("nobody"))
+
+
+def test_deep_and_wide_trees(spark, nodes):
+    deep = spark.createDataFrame([(i, "folder", f"n{i}", i - 1 if i else None) for i in range(200)] + [(500, "file", "x", 7)], "id long, kind string, name string, parent_id long")
+    assert tree.closure(deep).count() == 200 * 201 // 2 + 9
+    below = {r["id"]: r["depth"] for r in tree.descendants(deep, F.lit(5)).collect()}
+    assert below == {i: i - 5 for i in range(5, 200)} | {500: 3}
+    assert [r["id"] for r in tree.preorder(nodes, F.lit("s1")).orderBy("place").collect()] == ["s1", "f2", "x1", "f1"]
+    wide = spark.range(2_000_000).select("id", F.lit("file").alias("kind"), F.col("id").cast("string").alias("name"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 50)).alias("parent_id"))
+    assert tree.descendants(wide, F.lit(1)).groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, 50), (2, 2500), (3, 125000)]
 
 
 def test_audit_is_trimmed_and_batched(spark):
