@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import settle
 
 BLOCK = 256
-#: Hashes are summed modulo nothing: two sums of 31-bit values stay far below 2**63.
-SEEDS = (101, 202)
+#: Hashes are summed modulo nothing: sums of 31-bit values stay far below 2**63. Four of them make 124 bits.
+SEEDS = (101, 202, 303, 404)
+HASHES = [f"h{i}" for i in range(len(SEEDS))]
 
 
 def _clean(turns: DataFrame) -> DataFrame:
@@ -35,10 +36,11 @@ def _clean(turns: DataFrame) -> DataFrame:
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """Per conversation and turn: n (rows so far) and the hashes h0, h1 of all rows so far."""
-    hashed = [F.sum(F.pmod(F.xxhash64("turn", "role", "text", F.lit(s)), F.lit((1 << 31) - 1))).alias(f"h{i}") for i, s in enumerate(SEEDS)]
+    """Per conversation and turn: n (rows so far) and the hashes h0, h1 ... of all rows so far."""
+    # the seed comes first: what followed a collision of one hash would collide in all
+    hashed = [F.sum(F.pmod(F.xxhash64(F.lit(s), "turn", "role", "text"), F.lit((1 << 31) - 1))).alias(h) for h, s in zip(HASHES, SEEDS)]
     per_turn = turns.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), *hashed).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    sums = ["n", "h0", "h1"]
+    sums = ["n", *HASHES]
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = per_turn.groupBy("conv_id", "block").agg(*[F.sum(c).alias(c) for c in sums])
     base = blocks.select("conv_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in sums])
@@ -52,9 +54,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     prefixes = settle(prefix_hashes(_clean(turns)), "prefixes")
     ends = prefixes.groupBy("conv_id").agg(F.max("turn").alias("turn"))
     last = prefixes.join(ends, ["conv_id", "turn"])
-    whole = last.groupBy("n", "h0", "h1").agg(F.min("conv_id").alias("conv_id"))
-    inner = prefixes.join(ends, ["conv_id", "turn"], "left_anti").select("n", "h0", "h1").distinct()
-    return whole.join(inner, ["n", "h0", "h1"], "left_anti").select("conv_id")
+    whole = last.groupBy("n", *HASHES).agg(F.min("conv_id").alias("conv_id"))
+    inner = prefixes.join(ends, ["conv_id", "turn"], "left_anti").select("n", *HASHES).distinct()
+    return whole.join(inner, ["n", *HASHES], "left_anti").select("conv_id")
 
 
 def rendered(turns: DataFrame) -> DataFrame:

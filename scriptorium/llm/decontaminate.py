@@ -15,9 +15,10 @@ a document could hold an item:
    runs, as multisets, at least ``similarity``. A run weighs ``ln(1 + items / items that
    have it)``, over the whole benchmark; one that no item has counts as had by one.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of its text (and one item),
-one pass over the documents a block, so its size is not bounded by memory. Of several
-blocks each gets the counts of its own runs by a join, and by a further pass over the
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of its text (and one item)
+and ``BLOCK_ITEMS`` items, one pass over the documents a block; of several, each one's
+result is written and the block dropped before the next is sent, so the benchmark's size is
+not bounded by memory. Of several blocks each gets the counts of its own runs by a join, and by a further pass over the
 documents those of the other blocks' runs in windows that could be leaks; both passes find
 the same as one block would.
 
@@ -40,7 +41,8 @@ from . import textkit as K
 from .common import prepare, settle
 
 RUN, SIMILARITY, RADIUS = 5, 0.8, 20
-BLOCK_BYTES = 16 << 20
+#: A block holds about so much text and so many items at most: a few tens of MB of runs, weights and index lists when sent.
+BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 32_768
 STRETCH = 50_000  # windows fingerprinted at once
 
 
@@ -60,7 +62,7 @@ class HammingIndex:
         values = np.arange(256)
         near = np.bitwise_count((values[:, None] ^ values[None, :]).astype(np.uint8)) <= radius // 8
         blocks = prints.view(np.uint8).reshape(-1, 8)
-        self.lists = [[np.flatnonzero(near[v, blocks[:, b]]) for v in range(256)] for b in range(8)]
+        self.lists = [[np.flatnonzero(near[v, blocks[:, b]]).astype(np.int32) for v in range(256)] for b in range(8)]
 
     def find(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(query, item)`` numbers of all pairs within the radius."""
@@ -70,7 +72,7 @@ class HammingIndex:
             for v in np.unique(at[:, b]):
                 q, i = np.flatnonzero(at[:, b] == v), lists[v]
                 if len(i):
-                    found.append(np.repeat(q, len(i)) * len(self.prints) + np.tile(i, len(q)))
+                    found.append(np.repeat(q, len(i)) * len(self.prints) + np.tile(i, len(q)).astype(np.int64))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         q, i = pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
         ok = np.bitwise_count(queries[q] ^ self.prints[i]) <= self.radius
@@ -206,7 +208,7 @@ def blocks(items: DataFrame) -> Iterator[list]:
     for r in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         held.append(r)
         size += len(r["text"] or "")
-        if size >= BLOCK_BYTES:
+        if size >= BLOCK_BYTES or len(held) >= BLOCK_ITEMS:
             yield held
             held, size = [], 0
     if held:
@@ -235,14 +237,15 @@ def _had(counts: DataFrame, runs: DataFrame) -> dict[int, int]:
     return dict(zip(found["run"].to_numpy().view(np.uint64).tolist(), found["n"].to_pylist(), strict=True))
 
 
-def ready_blocks(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> Iterator[tuple[Items, list]]:
-    """The benchmark's blocks with the weights of the whole benchmark, and their item_ids."""
+def ready_blocks(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> Iterator[tuple[Items, list, bool]]:
+    """The benchmark's blocks with the weights of the whole benchmark, their item_ids, and whether
+    the block is one of several."""
     spark = docs.sparkSession
     total, counts = items.count(), None
     for rows in blocks(items):
         texts, ids = [r["text"] for r in rows], [r["item_id"] for r in rows]
         if len(rows) == total:
-            yield Items(texts, radius), ids
+            yield Items(texts, radius), ids, False
             continue
         if counts is None:
             counts = settle(shared_runs(items), "runs")
@@ -258,7 +261,7 @@ def ready_blocks(docs: DataFrame, items: DataFrame, similarity: float, radius: i
 
         block.weigh(_had(counts, docs.select("text").mapInArrow(go, "run long").distinct()))
         sent.unpersist()
-        yield block, ids
+        yield block, ids, True
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -268,8 +271,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     kind, key = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {key}, start_word long, n_words long, similarity double"
     out = spark.createDataFrame([], schema)
-    for ready in ready_blocks(docs, items, similarity, radius):
-        sent = spark.sparkContext.broadcast(ready)
+    for block, item_ids, several in ready_blocks(docs, items, similarity, radius):
+        sent = spark.sparkContext.broadcast((block, item_ids))
 
         def go(batches, sent=sent):
             ready, ids = sent.value
@@ -279,14 +282,18 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
                 types = [b["doc_id"].type, pa.int64() if key == "bigint" else None, pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if t else pa.array(c) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(go, schema))
+        found = docs.select("doc_id", "text").mapInArrow(go, schema)
+        if several:
+            found = settle(found, "leaks")
+            sent.unpersist()
+        out = out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows that hold an item."""
     prepare(docs.sparkSession)
-    for block, _ in ready_blocks(docs, items, similarity, radius):
+    for block, _, several in ready_blocks(docs, items, similarity, radius):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def go(batches, sent=sent):
@@ -294,4 +301,7 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
                 yield b.filter(pa.array([not own for own in sent.value.leaks(b["text"], similarity)], pa.bool_()))
 
         docs = docs.mapInArrow(go, docs.schema)
+        if several:
+            docs = settle(docs, "clean")
+            sent.unpersist()
     return docs

@@ -404,6 +404,17 @@ def test_license_variants(spark):
     assert got == ["MIT", "MIT", "MIT", None, "MIT-notice", None, None, None]
 
 
+def test_every_known_form_is_found_and_odd_rows_are_kept(spark):
+    known = licenses.forms()
+    texts = [f"{t}" if "\n" not in t else t.replace("\n", "\n\nCopyright (c) 1999, Some One. All rights reserved.\n", 1) for _, t in known] + [None, "", "word " * 40_000, known[0][1], known[0][1]]
+    df = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))).withColumnRenamed("lang", "license_id")
+    got = licenses.license_scan(df).collect()
+    found = {r["doc_id"]: r["license_id"] for r in got}
+    assert [found[i or None] for i in range(len(known))] == [k for k, _ in known]
+    assert [found[len(known) + i] for i in range(5)] == [None, None, None, known[0][0], known[0][0]] and len(got) == len(texts)
+    assert licenses.license_scan(df.where("false")).count() == 0
+
+
 def brute_chat(turns):
     convs = defaultdict(list)
     for c, t, role, text in turns:
