@@ -131,3 +131,25 @@ def valid_tickets(tickets: DataFrame) -> DataFrame:
     """``tickets`` with ``problem``: null where subject, text and status are in order."""
     size = lambda c: F.length(F.coalesce(c, F.lit("")))
     return tickets.withColumn("problem", F.when(~size("subject").between(1, 200), "subject").when(~size("text").between(1, 5000), "text").when(~F.col("status").isin(*W.TICKET_STATUSES), "status"))
+
+
+def newest(notes: DataFrame, by: str, order: str, tie: str, most: int = 30) -> DataFrame:
+    """The ``most`` newest notifications of each user, with ``n`` from 1."""
+    latest_first = Window.partitionBy(by).orderBy(F.desc(order), F.desc(tie))
+    return notes.withColumn("n", F.row_number().over(latest_first)).where(F.col("n") <= most)
+
+
+def mark_read(notes: DataFrame, opened: DataFrame) -> DataFrame:
+    """``notes(uid, id, ticket_id, read)`` after each user opened the notifications
+    ``opened(uid, id)``: these are read, and so are all of the user's about the same tickets."""
+    shown = notes.join(opened.select("uid", "id").distinct(), ["uid", "id"], "left_semi")
+    tickets = shown.where(F.col("ticket_id") != "").select("uid", "ticket_id", F.lit(True).alias("by_ticket")).distinct()
+    own = opened.select("uid", "id", F.lit(True).alias("by_id")).distinct()
+    seen = F.col("read") | F.coalesce("by_id", F.lit(False)) | F.coalesce("by_ticket", F.lit(False))
+    return notes.join(own, ["uid", "id"], "left").join(tickets, ["uid", "ticket_id"], "left").withColumn("read", seen).select(*notes.columns)
+
+
+def attachment_count(messages: Column) -> Column:
+    """Attachments in an array of messages, each with an array ``attachments``; null counts as none."""
+    each = F.transform(messages, lambda m: F.coalesce(F.size(m["attachments"]), F.lit(0)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda n, x: n + F.greatest(x, F.lit(0))), F.lit(0)).cast("long")

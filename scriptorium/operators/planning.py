@@ -43,3 +43,9 @@ def totals(planned: DataFrame, by: str) -> DataFrame:
     """``by, days, words, minutes, heaviest_day_words``."""
     per_day = planned.groupBy(by, "day").agg(F.sum("words").alias("w"), F.sum("minutes").alias("m"))
     return per_day.groupBy(by).agg(F.count("*").alias("days"), F.sum("w").alias("words"), F.sum("m").alias("minutes"), F.max("w").alias("heaviest_day_words"))
+
+
+def progress(planned: DataFrame, checked: DataFrame, by: str, order: str) -> DataFrame:
+    """``by, done, items``: how many items of each plan are among ``checked(order)``."""
+    ticks = checked.select(order).distinct().withColumn("ticked", F.lit(True))
+    return planned.join(ticks, order, "left").groupBy(by).agg(F.count_if("ticked").alias("done"), F.count("*").alias("items"))

@@ -251,3 +251,11 @@ def term_cards(docs: DataFrame, most: int = 40) -> DataFrame:
 
     cards = listed.select("doc_id", F.explode(F.aggregate("terms", F.array().cast("array<struct<term:string,text:string>>"), pick)).alias("c"))
     return cards.select("doc_id", "c.term", T.blank_out(F.col("c.text"), F.col("c.term")).alias("prompt"))
+
+
+def sentence_cards(paged: DataFrame) -> DataFrame:
+    """``doc_id, page, n, prompt, answer``: a card a sentence or paragraph of ``paged(doc_id, page,
+    text)``, whose prompt holds the first five words."""
+    pieces = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n{2,}"), T.strip), lambda x: F.length(x) > 0)
+    prompt = F.concat(F.lit("Recall the key idea: "), F.array_join(F.slice(F.split("answer", r"\s+"), 1, 5), " "), F.lit("…"))
+    return paged.select("doc_id", "page", F.posexplode(pieces).alias("n", "answer")).select("doc_id", "page", "n", prompt.alias("prompt"), "answer")

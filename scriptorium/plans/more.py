@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import models
-from ..operators import mutations, study
+from ..operators import activity, mutations, planning, study
 from ..sources.readers import pages_needing_ocr
 from ..sources.scratch import shared
-from ..sources.tables import lines, pages, table
+from ..sources.tables import lines, pages, spread, table
 from ..streaming import live
 
 
@@ -66,9 +66,49 @@ def activity_counters(spark, d):
     return mutations.counters(e.select(F.col("user_id").alias("uid"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("delta"), F.col("ts").alias("at")))
 
 
-QUERIES = {f.__name__: f for f in (stream_sessions, stream_activity, page_structure, bank_blocks, ocr_pages, embedded_questions, change_log, activity_counters)}
+def sentence_cards(spark, d):
+    return study.sentence_cards(pages(spread(table(spark, d, "documents"))))
+
+
+def plan_progress(spark, d):
+    topics = table(spark, d, "documents").select("source", "doc_id", F.lit("").alias("title"), F.col("n_chars").cast("long").alias("words"))
+    return planning.progress(planning.plan(topics, "source", "doc_id", 7), table(spark, d, "labels"), "source", "doc_id")
+
+
+def _notifications(spark, d):
+    ticket = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("id"), ticket.alias("ticket_id"), (F.col("value") > 50).alias("read"), "ts")
+
+
+def notifications_read(spark, d):
+    notes = _notifications(spark, d)
+    opened = activity.latest(notes, "uid", "ts", "id")
+    return activity.mark_read(notes.drop("ts"), opened).groupBy("uid").agg(F.count_if("read").alias("read"), F.count_if(~F.col("read")).alias("unread"))
+
+
+def newest_notifications(spark, d):
+    return activity.newest(_notifications(spark, d), "uid", "ts", "id").select("uid", "id", "n")
+
+
+def attachment_counts(spark, d):
+    sent = table(spark, d, "conversations").select("conv_id", F.struct(F.regexp_extract_all("text", F.lit(r"\w+ing"), 0).alias("attachments")).alias("m"))
+    return sent.groupBy("conv_id").agg(activity.attachment_count(F.collect_list("m")).alias("attachments"))
+
+
+QUERIES = {f.__name__: f for f in (sentence_cards, plan_progress, notifications_read, newest_notifications, attachment_counts, stream_sessions, stream_activity, page_structure, bank_blocks, ocr_pages, embedded_questions, change_log, activity_counters)}
 
 ORACLES = {
+    "sentence_cards": r"""WITH p AS (SELECT doc_id, unnest(x) AS text, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(12)) AS x FROM documents)),
+        c AS (SELECT doc_id, page, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n{2,}'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS x FROM p),
+        a AS (SELECT doc_id, page, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS n, unnest(x) AS answer FROM c)
+        SELECT doc_id, page, n, 'Recall the key idea: ' || array_to_string(regexp_split_to_array(answer, '\s+')[1:5], ' ') || '…' AS prompt, answer FROM a""",
+    "plan_progress": "SELECT source, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS done, count(*) AS items FROM documents GROUP BY source",
+    "notifications_read": """WITH n AS (SELECT user_id AS uid, event_id AS id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS ticket, value > 50 AS read, ts FROM events),
+        o AS (SELECT uid, id, ticket FROM n QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ts DESC, id DESC) = 1)
+        SELECT n.uid, count(*) FILTER (n.read OR n.id = o.id OR (o.ticket <> '' AND n.ticket = o.ticket)) AS read,
+               count(*) FILTER (NOT (n.read OR n.id = o.id OR (o.ticket <> '' AND n.ticket = o.ticket))) AS unread FROM n JOIN o ON n.uid = o.uid GROUP BY n.uid""",
+    "newest_notifications": "SELECT user_id AS uid, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events QUALIFY n <= 30",
+    "attachment_counts": r"SELECT conv_id, CAST(sum(coalesce(len(regexp_extract_all(text, '\w+ing')), 0)) AS BIGINT) AS attachments FROM conversations GROUP BY conv_id",
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 300000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events FROM s GROUP BY user_id, session""",
     "stream_activity": "SELECT epoch_us(date_trunc('hour', ts)) AS started, event_type, count(*) AS events FROM events GROUP BY ALL",
