@@ -10,7 +10,9 @@ that lowers the sum costs 0.75 % more). Full pieces need no search.
 
 Ids come from the byte-level vocabulary through its rank file where every character is
 below U+0250, and from the ``tokenizers`` file elsewhere (the two programs read the
-splitting pattern by different versions of Unicode); tests hold the two equal.
+splitting pattern by different versions of Unicode); tests hold the two equal. The string
+of a special token in a text is ordinary text, or with ``special_ids`` that token's id, as
+an untouched tokenizer has it.
 
 Nulls and ties: a null or empty text is the closing id alone; a null doc_id is kept;
 repeated rows are packed each on its own; equal choices go to the smaller gap, and there
@@ -49,17 +51,20 @@ def _encoders(files: tuple[str, str, str]):
     import tiktoken
     import tokenizers
 
-    slow = tokenizers.Tokenizer.from_file(files[0])
+    whole, slow = (tokenizers.Tokenizer.from_file(files[0]) for _ in range(2))
     slow.encode_special_tokens = True  # such strings in a text are ordinary text
+    special = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
     with open(files[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=files[2], mergeable_ranks=ranks, special_tokens={})
-    return slow, fast
+    return slow, fast, whole, special
 
 
-def token_ids(text: str | None, files: tuple[str, str, str]) -> list[int]:
-    slow, fast = _encoders(files)
+def token_ids(text: str | None, files: tuple[str, str, str], special_ids: bool = False) -> list[int]:
+    slow, fast, whole, special = _encoders(files)
     text = text or ""
+    if special_ids and special.search(text):
+        return whole.encode(text, add_special_tokens=False).ids
     return slow.encode(text, add_special_tokens=False).ids if _FAR.search(text) else fast.encode_ordinary(text)
 
 
@@ -69,7 +74,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = CLOSING_ID, files: tuple[str, str, str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = CLOSING_ID, files: tuple[str, str, str] | None = None, special_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``, without the ids themselves."""
     files = files or vocabulary()
     prepare(docs.sparkSession)
@@ -78,7 +83,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, closing: int = CLOSING_ID,
         for b in batches:
             ids, rows = b["doc_id"].to_pylist(), []
             for doc, text in zip(ids, b["text"], strict=True):
-                data = np.array([*token_ids(text.as_py(), files), closing], "<u4")
+                data = np.array([*token_ids(text.as_py(), files, special_ids), closing], "<u4")
                 rows += [(doc, k, s, n, zlib.crc32(data[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(data), capacity))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [b["doc_id"].type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -141,6 +146,6 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return cut_up.repartition(tasks).select(*cols).mapInArrow(go, out)
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, closing: int = CLOSING_ID, files: tuple[str, str, str] | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, closing: int = CLOSING_ID, files: tuple[str, str, str] | None = None, special_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(settle(pieces(docs, capacity, closing, files), "pieces"), capacity)
+    return pack(settle(pieces(docs, capacity, closing, files, special_ids), "pieces"), capacity)

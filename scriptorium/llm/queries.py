@@ -28,7 +28,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(read(spark, sf_dir, "documents"))
+    return packing.best_fit_packing(read(spark, sf_dir, "documents"), special_ids=True)
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,17 @@ def test_packing_round_trip(spark):
     assert packing.best_fit_packing(df.where("false")).count() == 0
 
 
+def test_special_strings_as_an_untouched_tokenizer_has_them(spark):
+    import tokenizers
+
+    texts = ["<|endoftext|> as text", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "日本 <|endoftext|>", "<|endoftext |>", "plain", "", None]
+    t = tokenizers.Tokenizer.from_file(packing.vocabulary()[0])
+    want = {i: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in enumerate(texts)}
+    got = packing.best_fit_packing(docs_of(spark, texts), special_ids=True).collect()
+    assert {x["doc_id"]: x["ids_crc32"] for x in got} == want
+    assert packing.token_ids("a <|endoftext|> b", packing.vocabulary()) != packing.token_ids("a <|endoftext|> b", packing.vocabulary(), True)
+
+
 def test_sum_of_squares_against_plain_version():
     r = np.random.default_rng(3)
     for _ in range(20):
