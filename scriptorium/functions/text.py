@@ -220,10 +220,15 @@ def mentions(text: Column, term: Column) -> Column:
     return F.contains(F.lower(text), F.lower(term)) & F.rlike(text, word_pattern(term))
 
 
+def swap_term(text: Column, term: Column, new: Column) -> Column:
+    """The first mention becomes ``new``."""
+    at = F.regexp_instr(text, word_pattern(term))
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(term)))).otherwise(text)
+
+
 def blank_out(text: Column, term: Column) -> Column:
     """The first mention becomes a blank."""
-    at = F.regexp_instr(text, word_pattern(term))
-    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.lit("_____"), F.substr(text, at + F.length(term)))).otherwise(text)
+    return swap_term(text, term, F.lit("_____"))
 
 
 def list_items(text: Column) -> Column:

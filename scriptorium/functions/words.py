@@ -138,6 +138,10 @@ PURPOSE = (
     r"(?i)^(?:(?:an?|the)\s+)?([\p{L}][\p{L}\p{N}*-]*(?:\s+[\p{L}\p{N}*-]+){0,4}?)\s+"
     r"(?:is used to|are used to|helps?|enables?|allows?|lets?|ensures?|reduces?|prevents?|improves?)\b"
 )
+CLAUSE = (
+    r"(?i)^([\p{L}-]{3,}\s[\p{L}]{3,})\s+(?:is|are|uses?|explores?|evaluates?|discovers?|computes?|updates?|predicts?|stores?|consists?|makes?|"
+    r"finds?|returns?|takes?|works?)\b"
+)
 SPELLED_OUT = r"\b([A-Z]{2,6})\s+stands for\s+([^.]+)"
 WEAK_SUBJECT = r"(?i)^(do|does|did|not|don't|it|its|this|that|these|those|they|there|here|which|we|you|i|he|she|please|kindly|also)\b"
 
@@ -152,6 +156,6 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
-SITUATION, ACTION, RESULT, FILLERS, REVIEW_FILLERS, SUBJECT, LIST, PURPOSE, SPELLED_OUT, WEAK_SUBJECT = map(
-    ascii_bounds, (SITUATION, ACTION, RESULT, FILLERS, REVIEW_FILLERS, SUBJECT, LIST, PURPOSE, SPELLED_OUT, WEAK_SUBJECT)
+SITUATION, ACTION, RESULT, FILLERS, REVIEW_FILLERS, SUBJECT, LIST, PURPOSE, CLAUSE, SPELLED_OUT, WEAK_SUBJECT = map(
+    ascii_bounds, (SITUATION, ACTION, RESULT, FILLERS, REVIEW_FILLERS, SUBJECT, LIST, PURPOSE, CLAUSE, SPELLED_OUT, WEAK_SUBJECT)
 )

@@ -101,24 +101,82 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-QUERY_BLOCK = 10_000
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 8, least: float = 0.2) -> DataFrame:
     """``query_id, vec_id, score, rank`` of ``vectors(vec_id, embedding)`` for a stated query
-    set ``queries(query_id, vector)``: cosine of unit vectors, above ``least``. Queries go
-    in blocks of about ``QUERY_BLOCK``, so what is broadcast is bounded."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    set ``queries(query_id, vector)``: cosine of unit vectors, above ``least``. Queries meet the
+    vectors in blocks of ``QUERY_BLOCK``, as matrix products of ``VECTOR_BLOCK`` rows, of which each
+    leaves a query's best ``k`` (and what ties with them); only these are shuffled. Vectors
+    that are null, hold nulls or have another length score with nothing."""
+    import numpy as np
+    import pandas as pd
+
+    asked = queries.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    usable = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("vec_id", "embedding")
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, vec_id {dict(usable.dtypes)['vec_id']}, score double"
+
+    def against(block: DataFrame) -> DataFrame:
+        by_size: dict[int, list] = {}
+        for q, v in block.select("query_id", "vector").collect():  # about QUERY_BLOCK rows
+            by_size.setdefault(len(v), []).append((q, v))
+        held = vectors.sparkSession.sparkContext.broadcast({n: (np.array([q for q, _ in rows]), np.array([v for _, v in rows], float)) for n, rows in by_size.items()})
+
+        def go(frames):
+            for frame in frames:
+                for at in range(0, len(frame), VECTOR_BLOCK):
+                    part = frame.iloc[at : at + VECTOR_BLOCK]
+                    for n, rows in part.groupby(part["embedding"].str.len()):
+                        if n not in held.value:
+                            continue
+                        q, v = held.value[n]
+                        ids = rows["vec_id"].to_numpy()
+                        scores = np.round(v @ np.stack(rows["embedding"].to_list()).astype(float).T, 6)
+                        scores[(q[:, None] == ids[None, :]) | ~(scores > least)] = -np.inf
+                        lowest = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+                        a, b = np.nonzero((scores >= lowest[:, None]) & (scores > -np.inf))
+                        yield pd.DataFrame({"query_id": q[a], "vec_id": ids[b], "score": scores[a, b]})
+
+        return usable.mapInPandas(go, schema)
+
     found = None
     for n in range(blocks):
-        block = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
-        pairs = vectors.join(block, F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("vector"), F.col("embedding")), 6).alias("score")).where(F.col("score") > least)
-        best = top(scored, k, tie="vec_id")
+        best = top(against(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)), k, tie="vec_id")
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def retrieve(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, asked: DataFrame | None = None, k: int = 4) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the first eight by BM25 fused with the first eight by
+    meaning, which counts 1.25; BM25 alone without ``vectors(vec_id, embedding)`` of the documents
+    and ``asked(query_id, vector)`` of the queries."""
+    if vectors is None or asked is None:
+        return bm25(docs, queries, k)
+    meant = vector_top(vectors, asked).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return fuse([(bm25(docs, queries, 8), 1.0), (meant, 1.25)], k).select("query_id", "doc_id", "score", "rank")
+
+
+def answers(docs: DataFrame, ranked: DataFrame, queries: DataFrame, place: str = "doc_id") -> DataFrame:
+    """``query_id, doc_id, answer, sources``: the best sentences of each query's first text and, of
+    the texts with at least half of its score, the first three distinct values of ``place``.
+    Queries without a hit have no row."""
+    said = best_sentences(docs, ranked.where("rank = 1"), queries)
+    near = ranked.withColumn("best", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("score") >= F.col("best") * 0.5)
+    places = near.join(docs.select("doc_id", F.col(place).alias("place")), "doc_id").groupBy("query_id", "place").agg(F.min("rank").alias("rank"))
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "place"))), 1, 3), lambda x: x["place"])
+    return said.join(places.groupBy("query_id").agg(listed.alias("sources")), "query_id")
+
+
+def generated_answers(answered: DataFrame, replies: DataFrame, ranked: DataFrame, pages: DataFrame) -> DataFrame:
+    """``answered`` with ``text``: a model's reply of ``replies(query_id, text)`` without citations of
+    pages that none of the query's ranked texts (``pages(doc_id, page)``, from 0) stands on; null without a reply."""
+    known = ranked.join(pages, "doc_id").groupBy("query_id").agg(F.collect_set((F.col("page") + 1).cast("int")).alias("known"))
+    kept = replies.join(known, "query_id").select("query_id", T.keep_real_citations(F.col("text"), F.col("known")).alias("text"))
+    return answered.join(kept, "query_id", "left")
+
+
 def semantic_relevance(cosine: Column) -> Column:
     """A cosine on the scale 0 to 100."""
     return T.js_round(F.least(F.greatest((cosine - 0.15) / 0.45, F.lit(0.0)), F.lit(1.0)) * 100)
@@ -189,8 +247,14 @@ def centroid_scores(docs: DataFrame) -> DataFrame:
 
 
 def summarize(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> DataFrame:
-    """``doc_id, sent_idx, text``: sentences picked by score unless one already picked is too
-    like them, in reading order. The greedy pick works on one document's sentences at a time."""
+    """``doc_id, sent_idx, text``: the ``picked`` sentences, in reading order."""
+    return picked(docs, sentences_each, alike).drop("pick")
+
+
+def picked(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> DataFrame:
+    """``doc_id, sent_idx, text, pick``: sentences picked by score unless one already picked is too
+    like them. The first ``n`` picks are those that ``n`` alone would give. The greedy pick works on
+    one document's sentences at a time."""
     import numpy as np
     import pandas as pd
 
@@ -220,9 +284,9 @@ def summarize(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> D
                 break
             if all(cosine(j, i) < alike for j in kept):
                 kept.append(i)
-        return rows.loc[sorted(kept), ["doc_id", "sent_idx", "text"]]
+        return rows.loc[kept, ["doc_id", "sent_idx", "text"]].assign(pick=range(1, len(kept) + 1)).sort_values("sent_idx")
 
-    return scored.groupBy("doc_id").applyInPandas(pick, "doc_id long, sent_idx int, text string")
+    return scored.groupBy("doc_id").applyInPandas(pick, f"doc_id {dict(docs.dtypes)['doc_id']}, sent_idx int, text string, pick int")
 
 
 def keyword_candidates(docs: DataFrame) -> DataFrame:

@@ -51,13 +51,23 @@ def expansions(docs: DataFrame) -> DataFrame:
     return found.where("acronym <> ''").dropDuplicates(["doc_id", "acronym"])
 
 
+def word_runs(text: Column) -> Column:
+    """The distinct runs of one to four words of a text, in lower case."""
+    runs = lambda a: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(T.let(T.tokenize(text), runs))
+
+
+def term_facts(facts_: DataFrame, terms: DataFrame) -> DataFrame:
+    """``facts_`` with each ``term`` of ``terms(doc_id, term)`` that it mentions, by an equi-join on runs of words."""
+    grams = facts_.withColumn("term", F.explode(word_runs(F.col("text"))))
+    return grams.join(terms, ["doc_id", "term"]).where(T.mentions(F.col("text"), F.col("term")))
+
+
 def term_mentions(facts_: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id, term, facts``: in how many facts of its document each of ``terms(doc_id, term)``
     stands as whole words. Runs of one to four words of the facts meet the terms in an
     equi-join, never all pairs."""
-    ws = T.tokenize(F.col("text"))
-    runs = lambda a: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    grams = facts_.select("doc_id", F.explode(F.array_distinct(T.let(ws, runs))).alias("term"))
+    grams = facts_.select("doc_id", F.explode(word_runs(F.col("text"))).alias("term"))
     wanted = terms.select("doc_id", F.array_join(T.tokenize(F.col("term")), " ").alias("term")).distinct()
     return grams.join(wanted, ["doc_id", "term"]).groupBy("doc_id", "term").agg(F.count("*").alias("facts"))
 
@@ -154,11 +164,7 @@ def quiz_sets(docs: DataFrame, seed: int = 1, sets: int = 3, each: int = 10) ->
     from ..sources.tables import pages
 
     terms = quiz_terms(docs).select("doc_id", "term")
-    f = facts(pages(docs))
-    ws = T.tokenize(F.col("text"))
-    runs = lambda a: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    grams = f.select("doc_id", "text", F.explode(F.array_distinct(T.let(ws, runs))).alias("term"))
-    found = grams.join(terms, ["doc_id", "term"]).where(T.mentions(F.col("text"), F.col("term")))
+    found = term_facts(facts(pages(docs)).select("doc_id", "text"), terms)
     mixed = F.xxhash64(F.lit(seed), "doc_id", "term", "text")
     per_fact = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(mixed))).where("r <= 2")
     per_term = per_fact.withColumn("t", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(mixed)))

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from . import library, more, retrieval, study
+from . import exam, library, more, retrieval, study
 
-QUERIES = {**retrieval.QUERIES, **study.QUERIES, **library.QUERIES, **more.QUERIES}
-ORACLES = {**retrieval.ORACLES, **study.ORACLES, **library.ORACLES, **more.ORACLES}
+QUERIES = {**retrieval.QUERIES, **study.QUERIES, **library.QUERIES, **more.QUERIES, **exam.QUERIES}
+ORACLES = {**retrieval.ORACLES, **study.ORACLES, **library.ORACLES, **more.ORACLES, **exam.ORACLES}
