@@ -2,6 +2,8 @@
 
 Everything is per section or per document: equi-joins on ``doc_id`` and ``section``, and
 windows over a document's sections. Pictures and code blocks are left to a client.
+A document without a text has no sections and no questions, and its notes are the title alone;
+one without a doc_id has at most questions that need no join, and notes of the title alone.
 """
 
 from __future__ import annotations
