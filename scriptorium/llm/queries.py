@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, metric_search, ngram_join, packing, quality, secrets, shards, toxicity
+from . import align, chat, decontaminate, fim, licenses, metric_search, ngram_join, packing, quality, rules, secrets, shards, toxicity
 from .common import read, scratch
 
 
@@ -51,6 +51,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cross_tokenizer_alignment(read(spark, sf_dir, "documents"), digest=True)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_secret_scans,
         op10_quality_classifier,
+        op11_cross_tokenizer_alignment,
+        op12_fill_in_middle,
+        op13_quality_rules,
     )
 }
 ORACLES: dict[str, str] = {
@@ -72,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scans": licenses.ORACLE,
     "op8_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
