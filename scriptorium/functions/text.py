@@ -54,9 +54,27 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+"))
 
 
+def runs(items: Column, made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``made(first, n)`` of each run of equal ``term`` in an array of structs that begin with it, sorted first:
+    what a group by term would give, within one row."""
+
+    def cut(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i)["term"] != F.get(a, i - 1)["term"]))
+        return let(starts, lambda ss: F.transform(ss, lambda i, j: made(F.get(a, i), F.coalesce(F.get(ss, j + 1), F.size(a)) - i)))
+
+    return let(F.array_sort(items), lambda a: F.when(F.size(a) > 0, cut(a)).otherwise(F.array().cast(f"array<struct<{kind}>>")))
+
+
+def counted(terms: Column) -> Column:
+    """The distinct terms of an array in their order, each with how often and where it first stands."""
+    placed = F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("first")))
+    return runs(placed, lambda x, n: F.struct(x["term"].alias("term"), n.alias("tf"), x["first"].alias("first")), "term:string,tf:int,first:int")
+
+
 def stem_light(t: Column) -> Column:
-    """The retrieval stemmer."""
-    return F.regexp_replace(t, "(ing|ed|es|s)$", "")
+    """The retrieval stemmer: an ending of ing, ed, es or s goes."""
+    cut = lambda n: F.substr(t, F.lit(1), F.length(t) - n)
+    return F.when(F.endswith(t, F.lit("ing")), cut(3)).when(F.endswith(t, F.lit("ed")) | F.endswith(t, F.lit("es")), cut(2)).when(F.endswith(t, F.lit("s")), cut(1)).otherwise(t)
 
 
 def stem_prefix(t: Column) -> Column:

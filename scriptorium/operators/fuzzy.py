@@ -7,13 +7,17 @@ cross product of dictionaries arises.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..sources.scratch import settle
 from . import tree
+from .policy import Policy, readable
 
 
 def slips(a: str, b: str, most: int = 2) -> int:
@@ -82,11 +86,16 @@ def expand(query: str) -> list[tuple[str, list[str]]]:
     return [(w, [x for x in W.SHORT_FORMS.get(w, "").split() if x not in W.STOP_WORDS]) for w in query.split() if w not in W.STOP_WORDS]
 
 
-def search(nodes: DataFrame, query: str, most: int = 60, related: int = 12) -> DataFrame:
+def search(nodes: DataFrame, query: str, most: int = 60, related: int = 12, policy: Policy | None = None, course: dict[str, str] | None = None) -> DataFrame:
     """``id, name, score, coverage, matched_all, place`` for ``nodes(id, kind, name, parent_id, keywords)``: own words weigh 1,
     those of ancestors 0.7, keywords 0.55. Nodes that match every word come first; where
-    fewer than three do, the nearest others follow."""
+    fewer than three do, the nearest others follow.
+
+    Under a ``policy``, nodes that the reader may not see are gone before words are matched. Nodes
+    of the ``course``, whose columns have the values given, count 1.12 times."""
     spark = nodes.sparkSession
+    if policy:
+        nodes = settle(nodes.join(readable(nodes, policy), "id", "left_semi"), "readable")
     norm = spark.range(1).select(T.normalize(F.lit(query)).alias("q")).first()["q"]
     terms = expand(norm)
     if not terms:
@@ -113,10 +122,11 @@ def search(nodes: DataFrame, query: str, most: int = 60, related: int = 12) -> D
             value = F.greatest(value, F.when(hit >= 0.6, F.lit(0.9) * sum(parts, F.lit(0.0)) / len(parts) + 0.1).otherwise(0.0))
         values.append(value)
     matched = sum(((v >= 0.5).cast("int") for v in values), F.lit(0))
+    here = reduce(lambda a, b: a & b, [F.coalesce(F.col(c).cast("string") == str(v), F.lit(False)) for c, v in course.items()]) if course else F.lit(False)
     scored = (
         per_node.select("id", (sum(values, F.lit(0.0)) / len(values)).alias("score"), matched.alias("matched")).where("matched > 0")
-        .join(nodes.select("id", "kind", "name"), "id")
-        .withColumn("score", F.round(F.col("score") * F.when(F.col("kind") != "file", 1.03).otherwise(1.0), 9))
+        .join(nodes.select("id", "kind", "name", here.alias("here")), "id")
+        .withColumn("score", F.round(F.col("score") * F.when(F.col("here"), 1.12).otherwise(1.0) * F.when(F.col("kind") != "file", 1.03).otherwise(1.0), 9))
         .withColumns({"coverage": F.col("matched") / F.lit(len(terms)), "matched_all": F.col("matched") == len(terms)})
     )
     # the first rows in this order hold all of the answer: those related count only where fewer than three match fully

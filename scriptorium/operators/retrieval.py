@@ -1,10 +1,11 @@
 """Retrieval over a corpus: postings, BM25, vectors, rank fusion, extractive answers, keywords, summaries.
 
 A corpus is any DataFrame with ``doc_id`` and ``text``. Query terms are few beside the
-corpus, so postings are built for them alone: one shuffle of (document, query term) counts.
-``index`` tokenises a corpus once; what ranks it takes such an index and makes one otherwise.
-What is counted within a document deals whole texts by document first, so that neither the
-counts nor the windows after them move its words again.
+corpus, so one scan keeps of each document its length and the words that a query can meet;
+all rankings of these queries read that. (``chunk_index`` keeps postings for good.) What is
+counted within a document is counted within its row: sorted, then runs, without a shuffle.
+Ranks go by full scores, of which ties are those equal to nine places; rounding to six
+comes last.
 """
 
 from __future__ import annotations
@@ -16,22 +17,33 @@ from ..functions import text as T
 from ..functions import words as W
 from ..sources.scratch import settle
 
-K1, B = 1.4, 0.75
+K1, B, TIES = 1.4, 0.75, 9
+#: So many distinct words of a set of queries are looked for within rows; more meet the words in a join.
+LITERAL_TERMS = 20_000
 
 
-def by_document(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").repartition("doc_id")
+def matched(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``doc_id, length, words`` of each document: its number of content terms, and of these (with
+    ``tf`` and ``first``) the ones that share a light stem with a query term. Written once for all
+    rankings of the queries."""
+    counted = docs.select("doc_id", T.counted(T.content_terms(F.col("text"))).alias("words"))
+    sized = counted.select("doc_id", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w["tf"]).alias("length"), "words")
+    asked = query_terms(queries).select(T.stem_light(F.col("term")).alias("stem")).distinct()
+    stems = [r["stem"] for r in asked.limit(LITERAL_TERMS + 1).collect()]
+    if len(stems) <= LITERAL_TERMS:
+        return settle(sized.withColumn("words", F.filter("words", lambda w: T.stem_light(w["term"]).isin(stems))), "matched")
+    return settle(sized, "matched")
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """``doc_id, length, terms`` of each document, written once for all that reads it."""
-    terms = docs.select("doc_id", T.content_terms(F.col("text")).alias("terms"))
-    return settle(terms.select("doc_id", F.size("terms").cast("long").alias("length"), "terms"), "index")
+def _words(rows: DataFrame) -> DataFrame:
+    """``doc_id, length, term, tf, first``."""
+    return rows.select("doc_id", "length", F.inline("words"))
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
     """``doc_id, term, tf``."""
-    return by_document(docs).select("doc_id", F.explode(T.content_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    each = docs.select("doc_id", F.inline(T.counted(T.content_terms(F.col("text")))))
+    return each.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -58,7 +70,11 @@ def _scored(hits: DataFrame, stats: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
     # stats is one row
-    return hits.crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
+    return hits.crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), TIES).alias("score")).where("score > 0")
+
+
+def _best(scored: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:
+    return top(scored, k, tie=tie).withColumn("score", F.round("score", 6))
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -68,33 +84,31 @@ def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", t
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, known: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, score, rank``: Okapi BM25 over exact terms; ``known`` is the corpus's ``index``."""
-    terms = index(docs) if known is None else known
-    asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    postings = (
-        terms.select("doc_id", "length", F.explode("terms").alias("term"))
-        .join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("f"))
-    )
+    """``query_id, doc_id, score, rank``: Okapi BM25 over exact terms; ``known`` is ``matched`` of the two."""
+    rows = matched(docs, queries) if known is None else known
+    asked = settle(query_terms(queries), "asked")
+    postings = _words(rows).join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return top(_scored(asked.join(df, "term").join(postings, "term"), _stats(terms)), k)
+    hits = _small(asked.join(df, "term"), asked).join(postings, "term").withColumnRenamed("tf", "f")
+    return _best(_scored(hits, _stats(rows)), k)
+
+
+def _small(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows``, no more than ``counted`` has, broadcast if these are few: then a common term isn't one key of a shuffle."""
+    return F.broadcast(rows) if counted.count() <= 10 * LITERAL_TERMS else rows
 
 
 def bm25_stemmed(docs: DataFrame, queries: DataFrame, k: int = 5, known: DataFrame | None = None) -> DataFrame:
     """As ``bm25``; a document without a query term counts its first word of the same light stem instead."""
-    terms = index(docs) if known is None else known
-    asked = query_terms(queries).withColumn("stem", T.stem_light(F.col("term")))
-    wanted = asked.select("stem").distinct()
-    words = (
-        terms.select("doc_id", "length", F.posexplode("terms").alias("pos", "word"))
-        .withColumn("stem", T.stem_light(F.col("word"))).join(wanted, "stem", "left_semi")
-        .groupBy("doc_id", "length", "stem", "word").agg(F.count("*").alias("f"), F.min("pos").alias("first"))
-    )
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    found = asked.join(words.join(df, "word"), "stem")
+    rows = matched(docs, queries) if known is None else known
+    asked = settle(query_terms(queries).withColumn("stem", T.stem_light(F.col("term"))), "asked")
+    words = _words(rows).withColumn("stem", T.stem_light(F.col("term"))).join(asked.select("stem").distinct(), "stem", "left_semi").withColumnRenamed("term", "word")
+    df = words.groupBy("word", "stem").agg(F.count("*").alias("df"))  # as many rows as there are words of asked stems
+    found = _small(asked, asked).join(words, "stem")
     exact = F.when(F.col("word") == F.col("term"), 0).otherwise(1)
-    best = found.groupBy("query_id", "term", "doc_id", "length").agg(F.min_by(F.struct("f", "df"), F.struct(exact, F.col("first"))).alias("b"))
-    return top(_scored(best.select("query_id", "doc_id", "length", F.col("b.f").alias("f"), F.col("b.df").alias("df")), _stats(terms)), k)
+    best = found.groupBy("query_id", "term", "doc_id", "length").agg(F.min_by(F.struct("word", "tf"), F.struct(exact, F.col("first"))).alias("b"))
+    hits = best.select("query_id", "doc_id", "length", F.col("b.tf").alias("f"), F.col("b.word").alias("word")).join(df, "word")
+    return _best(_scored(hits, _stats(rows)), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -133,7 +147,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 8, least: float
                             continue
                         q, v = held.value[n]
                         ids = rows["vec_id"].to_numpy()
-                        scores = np.round(v @ np.stack(rows["embedding"].to_list()).astype(float).T, 6)
+                        scores = np.round(v @ np.stack(rows["embedding"].to_list()).astype(float).T, TIES)
                         scores[(q[:, None] == ids[None, :]) | ~(scores > least)] = -np.inf
                         lowest = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
                         a, b = np.nonzero((scores >= lowest[:, None]) & (scores > -np.inf))
@@ -143,7 +157,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 8, least: float
 
     found = None
     for n in range(blocks):
-        best = top(against(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)), k, tie="vec_id")
+        best = _best(against(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)), k, tie="vec_id")
         found = best if found is None else found.unionByName(best)
     return found
 
@@ -289,55 +303,39 @@ def picked(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> Data
     return scored.groupBy("doc_id").applyInPandas(pick, f"doc_id {dict(docs.dtypes)['doc_id']}, sent_idx int, text string, pick int")
 
 
-def keyword_candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, term, weight, first_pos``: words count 1 and pairs of neighbours 1.5."""
-    known = F.transform(T.tokenize(F.col("text")), lambda w: F.when((F.length(w) > 2) & ~T.stop_word(w), w))  # null: in no candidate
+def _candidates(text: Column) -> Column:
+    """The array of a text's candidates: term, weight, first_pos."""
+    known = F.transform(T.tokenize(text), lambda w: F.when((F.length(w) > 2) & ~T.stop_word(w), w))  # null: in no candidate
 
     def entries(ts: Column) -> Column:
         def at(w: Column, i: Column) -> Column:
             after = F.get(ts, i + 1)
-            single = F.when(w.isNotNull() & ~w.rlike(r"^\d+$"), F.struct((i * 2).alias("pos"), w.alias("term"), F.lit(1.0).alias("w")))
-            pair = F.when(w.isNotNull() & after.isNotNull(), F.struct((i * 2 + 1).alias("pos"), F.concat_ws(" ", w, after).alias("term"), F.lit(1.5).alias("w")))
+            single = F.when(w.isNotNull() & ~w.rlike(r"^\d+$"), F.struct(w.alias("term"), (i * 2).alias("pos"), F.lit(1.0).alias("w")))
+            pair = F.when(w.isNotNull() & after.isNotNull(), F.struct(F.concat_ws(" ", w, after).alias("term"), (i * 2 + 1).alias("pos"), F.lit(1.5).alias("w")))
             return F.array_compact(F.array(single, pair))
 
         return F.flatten(F.transform(ts, at))
 
-    return (
-        by_document(docs).select("doc_id", F.explode(T.let(known, entries)).alias("e"))
-        .groupBy("doc_id", F.col("e.term").alias("term")).agg(F.sum("e.w").alias("weight"), F.min("e.pos").alias("first_pos"))
-    )
+    one = lambda x, n: F.struct(x["term"].alias("term"), (x["w"] * n).alias("weight"), x["pos"].alias("first_pos"))
+    return T.runs(T.let(known, entries), one, "term:string,weight:double,first_pos:int")
 
 
-def keywords(docs: DataFrame, n: int = 8, pool: int = 200) -> DataFrame:
-    """``doc_id, rank, term``: terms by weight (ties: first seen), none part of another. A
-    document's ``pool`` best candidates are enough unless most of them contain one another; where
-    fewer than ``n`` are found among them, the document is done again with all of its candidates."""
-    per = Window.partitionBy("doc_id")
-    ranked = keyword_candidates(docs).withColumns({"r": F.row_number().over(per.orderBy(F.desc("weight"), "first_pos")), "of": F.count("*").over(per)})
-    best = settle(ranked.where(F.col("r") <= pool), "candidates")
+def keyword_candidates(docs: DataFrame) -> DataFrame:
+    """``doc_id, term, weight, first_pos``: words count 1 and pairs of neighbours 1.5."""
+    return docs.select("doc_id", F.inline(_candidates(F.col("text"))))
 
-    def greedy(rows: DataFrame) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("r", "term", "weight")))
-        listed = rows.groupBy("doc_id").agg(ordered.alias("c"), F.max("of").alias("of"))
-        start = F.array().cast("array<string>")
 
-        def step(kept: Column, x: Column) -> Column:
-            over = (F.size(kept) >= n) | ((x["weight"] < 2) & (F.size(kept) >= 3))
-            inside = F.exists(kept, lambda y: F.contains(y, x["term"]) | F.contains(x["term"], y))
-            return F.when(over | inside, kept).otherwise(F.array_append(kept, x["term"]))
+def keywords(docs: DataFrame, n: int = 8) -> DataFrame:
+    """``doc_id, rank, term``: terms by weight (ties: first seen), none part of another."""
+    ordered = F.array_sort(F.transform(_candidates(F.col("text")), lambda c: F.struct((-c["weight"]).alias("order"), c["first_pos"].alias("at"), c["term"].alias("term"))))
 
-        return listed.select("doc_id", F.aggregate("c", start, step).alias("terms"), (F.size("c") < F.col("of")).alias("more"), (F.element_at("c", -1)["weight"] >= 2).alias("heavy"))
+    def step(kept: Column, x: Column) -> Column:
+        over = (F.size(kept) >= n) | ((x["order"] > -2) & (F.size(kept) >= 3))
+        inside = F.exists(kept, lambda y: F.contains(y, x["term"]) | F.contains(x["term"], y))
+        return F.when(over, kept).when(inside, kept).otherwise(F.array_append(kept, x["term"]))
 
-    first = settle(greedy(best), "picked")
-    short = F.col("more") & F.col("heavy") & (F.size("terms") < n)
-    unfinished = first.where(short).select("doc_id")
-    if not unfinished.limit(1).count():
-        done = first.select("doc_id", "terms")
-        return done.select("doc_id", F.posexplode("terms").alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
-    wanted = docs.join(unfinished, "doc_id", "left_semi")
-    again = greedy(keyword_candidates(wanted).withColumns({"r": F.row_number().over(per.orderBy(F.desc("weight"), "first_pos")), "of": F.count("*").over(per)}))
-    done = first.where(~short).select("doc_id", "terms").unionByName(again.select("doc_id", "terms"))
-    return done.select("doc_id", F.posexplode("terms").alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
+    picked = F.aggregate(ordered, F.array().cast("array<string>"), step)
+    return docs.select("doc_id", F.posexplode(picked).alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
 
 
 def acronyms(docs: DataFrame, most: int = 30) -> DataFrame:
@@ -350,9 +348,10 @@ def acronyms(docs: DataFrame, most: int = 30) -> DataFrame:
 def frequent_words(docs: DataFrame, most: int = 80) -> DataFrame:
     """``doc_id, rank, word, n``: a document's most frequent longer words."""
     good = lambda w: (F.length(w) > 3) & ~T.stop_word(w) & ~w.rlike(r"^\d+$")
-    counts = by_document(docs).select("doc_id", F.posexplode(F.split(T.normalize(F.col("text")), " ")).alias("pos", "word")).where(good(F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id", "rank", "word", "n")
+    words = T.counted(F.filter(F.split(T.normalize(F.col("text")), " "), good))
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-w["tf"]).alias("order"), w["first"].alias("at"), w["term"].alias("word"))))
+    each = docs.select("doc_id", F.posexplode(F.slice(ordered, 1, most)).alias("i", "w"))
+    return each.select("doc_id", (F.col("i") + 1).alias("rank"), "w.word", (-F.col("w.order")).cast("long").alias("n"))
 
 
 def file_keywords(docs: DataFrame, most: int = 120) -> DataFrame:

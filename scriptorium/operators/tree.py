@@ -118,6 +118,13 @@ def name_search(nodes: DataFrame, query: str) -> DataFrame:
     return found.join(nodes.select("id", "name"), "id").select("id", own.alias("score"), "path")
 
 
+def ranked_names(nodes: DataFrame, query: str, most: int = 60) -> DataFrame:
+    """``name_search`` in the order shown: words in the own name, kind, name; ``place`` from 1, the first ``most``."""
+    order = [F.desc("score"), kind_order(F.col("kind")), T.natural_key(F.col("name")), F.col("id")]
+    first = name_search(nodes, query).join(nodes.select("id", "kind", "name"), "id").orderBy(*order).limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("id", "score", "path", "place")
+
+
 def transfer_problem(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     """``id, target, problem`` of ``moves(id, target)``; null: nothing stands against it."""
     inside = closure(nodes).select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.lit(True).alias("inside"))

@@ -1,6 +1,7 @@
 """Registered queries and the SQL that checks them."""
 
-from . import exam, library, more, retrieval, study
+from . import exam, grounding, index, library, more, retrieval, study
 
-QUERIES = {**retrieval.QUERIES, **study.QUERIES, **library.QUERIES, **more.QUERIES, **exam.QUERIES}
-ORACLES = {**retrieval.ORACLES, **study.ORACLES, **library.ORACLES, **more.ORACLES, **exam.ORACLES}
+_PARTS = (retrieval, study, library, more, exam, index, grounding)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: query for part in _PARTS for name, query in part.ORACLES.items()}

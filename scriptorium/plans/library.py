@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import activity, fuzzy, tree
+from ..operators import activity, fuzzy, policy, tree
 from ..sources.tables import table
+from . import sql as S
 
 
 def _nodes(spark, d) -> DataFrame:
@@ -209,6 +210,26 @@ def fuzzy_search(spark, d):
     return fuzzy.search(_nodes(spark, d).withColumn("keywords", F.array(F.lit("unit 2"), F.col("kind"))), "customr nation_1")
 
 
+def _owned(spark, d) -> DataFrame:
+    """Nodes with an owner (a third of the files are shared), a course and keywords."""
+    n = F.regexp_extract("id", r"\d+", 0).cast("int")
+    owner = F.when((F.col("kind") == "file") & (n % 3 > 0), F.concat(F.lit("user-"), n % 3))
+    return _nodes(spark, d).withColumns({"owner": owner, "university": F.when(n % 5 == 0, "U1").otherwise("U2"), "year": n % 2, "keywords": F.array(F.lit("unit 2"), F.col("kind"))})
+
+
+def policy_search(spark, d):
+    who = policy.Policy("user-1", exam="end")
+    return fuzzy.search(_owned(spark, d), "customr nation_1", policy=who, course={"university": "U1", "year": "1"})
+
+
+def readable_nodes(spark, d):
+    return policy.readable(_owned(spark, d), policy.Policy("user-2", exam="mid"))
+
+
+def ranked_names(spark, d):
+    return tree.ranked_names(_nodes(spark, d), "nation_1 0")
+
+
 def fuzzy_words(spark, d):
     """How well each word of the part names matches slipped and shortened query words."""
     names = table(spark, d, "part").select(F.explode(T.search_tokens(F.col("p_name"))).alias("w")).distinct()
@@ -219,7 +240,7 @@ def fuzzy_words(spark, d):
 QUERIES = {f.__name__: f for f in (
     children_sorted, paths, descendants, subtree_counts, visible_nodes, name_search, move_subtree, copy_subtree, transfer_problems, swap_scopes, audit_batches, last_seen, active_now, weekly_active,
     ban_states, heartbeat_sessions, overview_stats, feedback_by_kind, status_counts, prefix_users, contains_search, facet_filter, learning_memory, history_last_k, principals, only_changes,
-    erased_rows, export_json_counts, blob_roundtrip, range_join_figures, ticket_log, feedback_cube, fuzzy_search, fuzzy_words,
+    erased_rows, export_json_counts, blob_roundtrip, range_join_figures, ticket_log, feedback_cube, fuzzy_search, policy_search, readable_nodes, ranked_names, fuzzy_words,
 )}
 
 _N = """n AS (SELECT 'r' || r_regionkey AS id, 'subject' AS kind, r_name AS name, NULL AS parent_id, CASE WHEN r_regionkey % 3 = 0 THEN 'mid' ELSE 'both' END AS exam FROM region
@@ -231,7 +252,43 @@ _FB = f"""f AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN 'question' WH
   CASE WHEN quality = 1 THEN 'correct' ELSE 'wrong' END AS verdict, CASE WHEN toxic = 1 THEN lang ELSE '' END AS comment FROM labels JOIN documents USING (doc_id))"""
 _KIND = "CASE kind WHEN 'subject' THEN 0 WHEN 'folder' THEN 1 ELSE 2 END"
 
+_OWNED = rf"""{_UP}, o AS (SELECT *, CASE WHEN kind = 'file' AND k % 3 > 0 THEN 'user-' || (k % 3) END AS owner, CASE WHEN k % 5 = 0 THEN 'U1' ELSE 'U2' END AS university, k % 2 AS year
+  FROM (SELECT *, CAST(regexp_extract(id, '\d+') AS INTEGER) AS k FROM n))"""
+
+
+def _readable(uid: str, exam: str) -> str:
+    return f"(SELECT up.id FROM up JOIN o ON up.ancestor = o.id GROUP BY up.id HAVING bool_and((exam IS NULL OR exam IN ('', 'both', '{exam}')) AND (owner IS NULL OR owner = '{uid}')))"
+
+
+def _search(seen: str, course: str) -> str:
+    """The search for ``customr nation_1`` among the nodes ``seen``."""
+    key = r"regexp_replace(lower(name), '\d+', lpad(regexp_extract(lower(name), '\d+'), 12, '0'))"
+    return rf"""{_OWNED}, vis AS {seen},
+tk AS (SELECT id, kind, name, university, year, list_filter(string_split(trim(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> '' AND NOT list_contains({S.STOP}, t)) AS own
+  FROM o WHERE id IN (SELECT id FROM vis)),
+fw AS (SELECT id, unnest(own) AS w, 1.0::DOUBLE AS f FROM tk UNION ALL SELECT up.id, unnest(a.own), 0.7 FROM up JOIN tk a ON up.ancestor = a.id WHERE depth > 0 AND up.id IN (SELECT id FROM vis)
+  UNION ALL SELECT id, unnest(['unit', '2', kind]), 0.55 FROM tk),
+dq AS (SELECT q, w, {S.word_match("q", "w")} AS s FROM (SELECT unnest(['customr', 'nation', '1']) AS q), (SELECT DISTINCT w FROM fw)),
+e0 AS (SELECT id, q, f * s AS m FROM fw JOIN dq USING (w) UNION ALL SELECT id, q, 0.95 FROM tk, (SELECT unnest(['customr', 'nation']) AS q) WHERE length(q) BETWEEN 2 AND 6 AND list_aggregate(list_transform(own, lambda t: left(t, 1)), 'string_agg', '') = q),
+e AS (SELECT id, q, max(m) AS m FROM e0 GROUP BY ALL),
+sc AS (SELECT id, sum(m) / 3 AS s, count(*) FILTER (m >= 0.5) AS matched FROM e GROUP BY id),
+z AS (SELECT id, name, round(s * CASE WHEN {course} THEN 1.12 ELSE 1.0 END * CASE WHEN kind <> 'file' THEN 1.03 ELSE 1.0 END, 9) AS score, matched / 3 AS coverage, matched = 3 AS matched_all FROM sc JOIN tk USING (id) WHERE matched > 0),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY matched_all DESC, CASE WHEN matched_all THEN 0 ELSE -coverage END, score DESC, {key}, id) AS INTEGER) AS place, count(*) FILTER (matched_all) OVER () AS n FROM z)
+SELECT id, name, score, coverage, matched_all, place FROM p
+WHERE CASE WHEN matched_all THEN place <= 60 ELSE n < 3 AND coverage >= CASE WHEN n > 0 THEN 0.5 ELSE 0.3 END AND place - n <= 12 END"""
+
+
 ORACLES = {
+    "fuzzy_search": _search("(SELECT id FROM o)", "false"),
+    "policy_search": _search(_readable("user-1", "end"), "university = 'U1' AND year = 1"),
+    "readable_nodes": f"{_OWNED} SELECT id FROM {_readable('user-2', 'mid')}",
+    "fuzzy_words": rf"""WITH n AS (SELECT DISTINCT unnest(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> '' AND NOT list_contains({S.STOP}, t))) AS w FROM part),
+        a AS (SELECT DISTINCT q FROM (SELECT unnest([w, substr(w, 2, 1) || substr(w, 1, 1) || substr(w, 3), left(w, length(w) - 1)]) AS q FROM n) WHERE q <> ''),
+        m AS (SELECT q, w, {S.word_match("q", "w")} AS s FROM a, n) SELECT q, w, CAST(s AS DOUBLE) AS score FROM m WHERE s > 0""",
+    "ranked_names": rf"""{_UP}, p AS (SELECT up.id, string_agg(name, ' ' ORDER BY depth DESC) AS path FROM up JOIN n ON up.ancestor = n.id GROUP BY up.id),
+        f AS (SELECT id, kind, name, path, contains(lower(name), 'nation_1')::INT + contains(lower(name), '0')::INT AS score FROM p JOIN n USING (id) WHERE contains(lower(path), 'nation_1') AND contains(lower(path), '0')),
+        r AS (SELECT id, score, path, CAST(row_number() OVER (ORDER BY score DESC, {_KIND}, regexp_replace(lower(name), '\d+', lpad(regexp_extract(lower(name), '\d+'), 12, '0')), id) AS INTEGER) AS place FROM f)
+        SELECT * FROM r WHERE place <= 60""",
     "children_sorted": f"""WITH {_N} SELECT parent_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY {_KIND}, lower(regexp_extract(name, '^\\D*')), CAST(coalesce(nullif(regexp_extract(name, '\\d+'), ''), '0') AS BIGINT), id) - 1 AS INTEGER) AS position, id, name FROM n""",
     "paths": f"{_UP} SELECT up.id, CAST(max(depth) AS INTEGER) AS depth, string_agg(name, ' › ' ORDER BY depth DESC) AS path FROM up JOIN n ON up.ancestor = n.id GROUP BY up.id",
     "descendants": f"{_UP} SELECT id, CAST(depth AS INTEGER) AS depth FROM up WHERE ancestor = 'r1'",

@@ -100,7 +100,7 @@ def relevance_scale(spark, d):
 
 def rrf_fuse(spark, d):
     docs, asked = _docs(spark, d), _asked(spark, d)
-    known = R.index(docs)
+    known = R.matched(docs, asked)
     exact, stemmed = R.bm25(docs, asked, 8, known), R.bm25_stemmed(docs, asked, 8, known)
     return R.fuse([(exact, 1.0), (stemmed, 1.25)], 5).select("query_id", "doc_id", "score", "rank")
 
@@ -167,13 +167,6 @@ QUERIES = {f.__name__: f for f in (
 _LINES = "l AS (SELECT doc_id, unnest(x) AS line, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS line_no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))"
 
 
-def _suffix_case() -> str:
-    from ..functions.words import SEARCH_SUFFIXES
-
-    arms = " ".join(f"WHEN ends_with(term, '{s}') AND length(term) >= {len(s) + 3} THEN left(term, length(term) - {len(s)})" + (" || 'y'" if s == "ies" else "") for s in SEARCH_SUFFIXES)
-    return rf"CASE WHEN length(term) <= 3 OR regexp_matches(term, '^\d+$') THEN term {arms} ELSE term END"
-
-
 _STEMMED = f"""
 d AS (SELECT doc_id, {S.content("text")} AS terms FROM documents),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({S.content("text")}) AS term FROM benchmark),
@@ -184,14 +177,14 @@ w AS (SELECT doc_id, length, word, regexp_replace(word, '(ing|ed|es|s)$', '') AS
 df AS (SELECT word, count(*) AS df FROM w GROUP BY word),
 h AS (SELECT query_id, term, doc_id, length, f, df, row_number() OVER (PARTITION BY query_id, term, doc_id ORDER BY CASE WHEN word = term THEN 0 ELSE 1 END, first) AS k
       FROM qs JOIN w USING (stem) JOIN df USING (word)),
-sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * length / avg_len))), 6) AS score
+sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * length / avg_len))), 9) AS full_score
        FROM h, st WHERE k = 1 GROUP BY ALL),
-r AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE score > 0)"""
+r AS (SELECT query_id, doc_id, round(full_score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE full_score > 0)"""
 
 _VECTORS = """
-p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS full_score
       FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE score > 0.2)"""
+r AS (SELECT *, round(full_score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE full_score > 0.2)"""
 
 _KEYS = f"""
 t AS (SELECT doc_id, {S.tokens("text")} AS ts FROM documents),
@@ -209,7 +202,7 @@ ORACLES = {
     "term_frequency": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.content('text')}) AS term FROM documents) GROUP BY ALL",
     "document_frequency": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.content('text')}) AS term FROM documents) GROUP BY ALL",
     "corpus_stats": f"SELECT count(*) AS n, round(avg(len({S.content('text')})), 6) AS avg_len FROM documents",
-    "stem_variants": f"""SELECT term, regexp_replace(term, '(ing|ed|es|s)$', '') AS light, {_suffix_case()} AS search, left(term, 5) AS prefix
+    "stem_variants": f"""SELECT term, regexp_replace(term, '(ing|ed|es|s)$', '') AS light, {S.stem_search('term')} AS search, left(term, 5) AS prefix
         FROM (SELECT DISTINCT unnest({S.content("text")}) AS term FROM documents)""",
     "sentence_stats": f"WITH {S.SENTENCES} SELECT doc_id, count(*) AS sentences, CAST(sum({S.word_count('text')}) AS BIGINT) AS words, CAST(max(length(text)) AS BIGINT) AS longest FROM s GROUP BY doc_id",
     "sentences_long": f"WITH {S.SENTENCES} SELECT doc_id, sent_idx, text FROM s WHERE {S.word_count('text')} >= 20",

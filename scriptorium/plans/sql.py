@@ -51,6 +51,20 @@ def sentences(c: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {one}), lambda s: length(s) > 1)"
 
 
+def stem_search(c: str) -> str:
+    arms = " ".join(f"WHEN ends_with({c}, '{s}') AND length({c}) >= {len(s) + 3} THEN left({c}, length({c}) - {len(s)})" + (" || 'y'" if s == "ies" else "") for s in W.SEARCH_SUFFIXES)
+    return rf"CASE WHEN length({c}) <= 3 OR regexp_matches({c}, '^\d+$') THEN {c} {arms} ELSE {c} END"
+
+
+def word_match(q: str, w: str) -> str:
+    """How well one query word matches one word of a name."""
+    sq, sw, digits = f"({stem_search(q)})", f"({stem_search(w)})", lambda c: rf"regexp_matches({c}, '^\d+$')"
+    slips = f"(CASE WHEN length({q}) >= 8 THEN 2 WHEN length({q}) >= 4 THEN 1 ELSE 0 END)"
+    return f"""CASE WHEN {q} = {w} THEN 1.0 WHEN {digits(q)} OR {digits(w)} THEN 0.0 WHEN {sq} = {sw} THEN 0.92 WHEN length({q}) >= 3 AND starts_with({w}, {q}) THEN 0.8
+      WHEN length({sq}) >= 4 AND starts_with({sw}, {sq}) THEN 0.75 WHEN {slips} > 0 AND damerau_levenshtein({q}, {w}) <= {slips} THEN 0.68
+      WHEN {slips} > 0 AND length({sq}) >= 4 AND damerau_levenshtein({sq}, {sw}) <= {slips} THEN 0.62 ELSE 0.0 END"""
+
+
 SENTENCES = f"""
 s AS (SELECT doc_id, unnest(x) AS text, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS sent_idx FROM (SELECT doc_id, {sentences("text")} AS x FROM documents))"""
 
@@ -60,6 +74,6 @@ q AS (SELECT DISTINCT item_id AS query_id, unnest({content("text")}) AS term FRO
 st AS (SELECT count(*) AS n, avg(len(terms)) AS avg_len FROM d),
 tf AS (SELECT doc_id, length, term, count(*) AS f FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * length / avg_len))), 6) AS score
+sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * length / avg_len))), 9) AS full_score
        FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
-r AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE score > 0)"""
+r AS (SELECT query_id, doc_id, round(full_score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE full_score > 0)"""

@@ -123,6 +123,17 @@ def plan_days(spark, d):
     return planning.plan(topics, "source", "doc_id", 7).select("source", "doc_id", "day", "minutes")
 
 
+def multi_plan(spark, d):
+    """A plan a source over all of its documents; twelve lines are a page."""
+    docs = _docs(spark, d)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    cut = T.let(lines, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 12).cast("int")), lambda k: F.array_join(F.slice(x, k * 12 + 1, F.lit(12)), "\n")))
+    as_pages = docs.select("doc_id", F.posexplode(cut).alias("page", "text"))
+    members = docs.select(F.col("source").alias("plan"), F.col("doc_id").alias("position"), "doc_id")
+    found = planning.multi_plan(as_pages, members, 7)
+    return found.select(F.col("plan").alias("source"), "doc_id", "topic", "part", F.col("start").alias("first_page"), F.col("end").alias("last_page"), "words", "day", "minutes")
+
+
 def plan_totals(spark, d):
     topics = _docs(spark, d).select("source", "doc_id", F.lit("").alias("title"), (T.word_count(F.col("text")) + 1).cast("long").alias("words"))
     return planning.totals(planning.plan(topics, "source", "doc_id", 7), "source")
@@ -202,7 +213,7 @@ def speech_timing(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     definitions, list_sentences, acronym_expansions, code_lines, quiz_facts, fact_term_mentions, important_flags, question_bank, flashcards, bank_counts, notes_markdown, quiz_terms, quiz_sets, compared_definitions, head_pairs, mention_counts, term_cards, topic_split,
-    grade_match, quiz_breakdown, topic_words, plan_days, plan_totals, answer_scores, answer_review, interview_report, tech_terms, voice_report, follow_ups, resume_profiles, transcripts_clean,
+    grade_match, quiz_breakdown, topic_words, plan_days, multi_plan, plan_totals, answer_scores, answer_review, interview_report, tech_terms, voice_report, follow_ups, resume_profiles, transcripts_clean,
     signal_rms, signal_threshold, signal_resample, signal_speech, voice_stats, speech_timing,
 )}
 
@@ -234,8 +245,10 @@ _SKILL = rf"regexp_extract_all(t, '(?i)(?:^|[^\p{{L}}\p{{N}}])({W.SKILLS})(?:$|[
 _RESPONSES = """
 x AS (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_linenumber = CAST(l_quantity AS INTEGER) % 7 + 1 THEN 1 ELSE 0 END) AS ok FROM lineitem GROUP BY l_orderkey)"""
 
-_DAYS = f"""
-t AS (SELECT source, doc_id, {S.word_count("text")} + 1 AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+def _dealt(keys: str) -> str:
+    """Topics ``t(source, <keys>, words, i)`` dealt onto six study days of two hours."""
+    own = ", ".join(f"t.{k}" for k in keys.split(", "))
+    return f"""
 tt AS (SELECT source, sum(words) AS total, count(*) AS n, least(6, count(*)) AS days FROM t GROUP BY source),
 f(source, i, day, load) AS (
   SELECT source, i, 0, CAST(words AS DOUBLE) FROM t WHERE i = 1
@@ -244,11 +257,38 @@ f(source, i, day, load) AS (
     CASE WHEN days - f.day - 1 > 0 AND (f.load + t.words / 2 > total / days OR n - t.i + 1 = days - f.day - 1) THEN f.day + 1 ELSE f.day END,
     CASE WHEN days - f.day - 1 > 0 AND (f.load + t.words / 2 > total / days OR n - t.i + 1 = days - f.day - 1) THEN 0 ELSE f.load END + t.words
   FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1 JOIN tt ON tt.source = f.source),
-dl AS (SELECT t.source, t.doc_id, t.words, f.day + 1 AS day, sum(t.words) OVER (PARTITION BY t.source, f.day) AS load FROM t JOIN f USING (source, i)),
+dl AS (SELECT t.source, {own}, t.words, f.day + 1 AS day, sum(t.words) OVER (PARTITION BY t.source, f.day) AS load FROM t JOIN f USING (source, i)),
 hv AS (SELECT *, max(load) OVER (PARTITION BY source) AS heaviest FROM dl),
 mi AS (SELECT *, greatest(5, floor(105.0 * words / heaviest + 0.5)) AS m FROM hv),
 mm AS (SELECT *, sum(m) OVER (PARTITION BY source, day) AS total FROM mi),
-pl AS (SELECT source, doc_id, words, day, CAST(CASE WHEN total > 105 THEN greatest(5, floor(m * 105 / total)) ELSE m END AS BIGINT) AS minutes FROM mm)"""
+pl AS (SELECT source, {keys}, words, day, CAST(CASE WHEN total > 105 THEN greatest(5, floor(m * 105 / total)) ELSE m END AS BIGINT) AS minutes FROM mm)"""
+
+
+_DAYS = f"""
+t AS (SELECT source, doc_id, {S.word_count("text")} + 1 AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),{_dealt("doc_id")}"""
+
+_UNITS = f"""
+li AS (SELECT source, doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS no FROM (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+nb AS (SELECT *, no // 12 AS page, {S.heading("line")} AS head FROM li WHERE regexp_matches(line, '\\S')),
+le AS (SELECT *, bool_and(head) OVER (PARTITION BY doc_id, page ORDER BY no) AS lead FROM nb),
+pg AS (SELECT doc_id, page, bool_or(lead) AS opens, sum(CASE WHEN lead THEN 0 ELSE {S.word_count("line")} END) AS words, bool_or(NOT lead) AS held FROM le GROUP BY ALL),
+ap AS (SELECT DISTINCT source, doc_id, no // 12 AS page FROM li),
+tg AS (SELECT ap.source, ap.doc_id, ap.page, coalesce(words, 0) + 1 AS words, coalesce(opens, false) AS opens, coalesce(held, false) AS held, bool_or(pg.page IS NOT NULL) OVER (PARTITION BY ap.doc_id) AS lined
+       FROM ap LEFT JOIN pg ON ap.doc_id = pg.doc_id AND ap.page = pg.page),
+tn AS (SELECT *, CASE WHEN lined THEN sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY page) ELSE page END AS topic FROM tg),
+tp AS (SELECT source, doc_id, topic, list(page ORDER BY page) FILTER (held OR NOT lined) AS pp, list(words ORDER BY page) FILTER (held OR NOT lined) AS w, min(page) FILTER (opens) AS opened FROM tn GROUP BY ALL),
+ts AS (SELECT tp.*, target FROM tp JOIN (SELECT source, sum(list_sum(w)) / 6 AS target FROM tp GROUP BY source) USING (source) WHERE len(pp) > 0),
+u(doc_id, topic, i, p, load) AS (
+  SELECT doc_id, topic, 1, 0, w[1] FROM ts
+  UNION ALL
+  SELECT u.doc_id, u.topic, u.i + 1, CASE WHEN u.load >= ts.target * 0.8 THEN u.p + 1 ELSE u.p END, CASE WHEN u.load >= ts.target * 0.8 THEN 0 ELSE u.load END + ts.w[u.i + 1]
+  FROM u JOIN ts ON u.doc_id = ts.doc_id AND u.topic = ts.topic WHERE u.i < len(ts.w)),
+ul AS (SELECT doc_id, topic, arg_max(p, i) AS p, arg_max(load, i) AS load FROM u GROUP BY ALL),
+uq AS (SELECT ts.source, doc_id, topic, ts.pp[u.i] AS page, ts.w[u.i] AS words, opened,
+         CASE WHEN list_sum(ts.w) <= ts.target * 1.25 OR len(ts.w) < 2 THEN 0 WHEN ul.p > 0 AND ul.load < ts.target * 0.3 AND u.p = ul.p THEN u.p - 1 ELSE u.p END AS part
+       FROM u JOIN ts USING (doc_id, topic) JOIN ul USING (doc_id, topic)),
+un AS (SELECT source, doc_id, topic, part, CASE WHEN part = 0 THEN least(coalesce(min(opened), min(page)), min(page)) ELSE min(page) END AS first_page, max(page) AS last_page, sum(words) AS words FROM uq GROUP BY source, doc_id, topic, part),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, topic, part) AS i FROM un),{_dealt("doc_id, topic, part, first_page, last_page")}"""
 
 _FRAMES = """
 x AS (SELECT vec_id AS clip_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
@@ -287,6 +327,8 @@ ORACLES = {
         h AS (SELECT *, CASE WHEN {S.heading("line")} THEN 1 ELSE 0 END AS head FROM l WHERE regexp_matches(line, '\\S')),
         k AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h)
         SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(sum(CASE WHEN head = 0 THEN {S.word_count("line")} ELSE 0 END) + 1 AS BIGINT) AS words FROM k GROUP BY ALL""",
+    "multi_plan": f"""WITH RECURSIVE {_UNITS} SELECT source, doc_id, CAST(topic AS BIGINT) AS topic, CAST(part AS INTEGER) AS part, CAST(first_page AS INTEGER) AS first_page, CAST(last_page AS INTEGER) AS last_page,
+        CAST(words AS BIGINT) AS words, CAST(day AS INTEGER) AS day, minutes FROM pl""",
     "plan_days": f"WITH RECURSIVE {_DAYS} SELECT source, doc_id, CAST(day AS INTEGER) AS day, minutes FROM pl",
     "plan_totals": f"""WITH RECURSIVE {_DAYS}, d AS (SELECT source, day, sum(words) AS w, sum(minutes) AS m FROM pl GROUP BY ALL)
         SELECT source, count(*) AS days, CAST(sum(w) AS BIGINT) AS words, CAST(sum(m) AS BIGINT) AS minutes, CAST(max(w) AS BIGINT) AS heaviest_day_words FROM d GROUP BY source""",
