@@ -5,13 +5,14 @@ two rising sequences; merged, the offsets in both of them cut the tokens into gr
 every pair of an A and a B token of one group is a link. Links weigh by how many documents
 of the whole corpus hold their pair of ids.
 
-A text is read and encoded once. ``mapInPandas`` takes a batch of documents as a block:
-cumulative ends are merged over the block at once (documents end where both sides end), and
-per document its distinct pairs are kept as places in the block's own list of pairs. Spark
+A text is read and encoded once. ``mapInPandas`` takes some documents as a block: each of its
+distinct units (``Encoders``) is encoded once and cumulative ends are merged over all of them
+(units end where both sides end); per document its distinct pairs are kept as places in the
+block's own list of pairs. Spark
 then counts pairs by block lists (summed per block before anything moves), takes the largest
 count by id of either side, joins both back to the block lists by pair, and brings a block's
 counts to its documents. So what is shuffled are distinct pairs a block, never occurrences.
-A block holds a batch, whatever the corpus; maxima are at most one row for each id of a
+A block holds some MB of text, whatever the corpus; maxima are at most one row for each id of a
 vocabulary, so that they may be broadcast.
 
 Nulls and ties: texts that are null or empty, or whose token bytes aren't the text's (one
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, settle
-from .packing import token_ids, vocabulary
+from .packing import _encoders, token_ids, vocabulary
 
 Files = tuple[tuple[str, str, str], str]
 _SHIFT = 31
+SLICE = 1 << 20  # links counted at once
+BLOCK_ROWS, BLOCK_CHARS = 1000, 3 << 20
 
 
 def vocabularies() -> Files:
@@ -62,33 +65,50 @@ class Side:
         """Texts of id k within a group (at 2k) and at its end (at 2k + 1)."""
         return np.array([f"{k}{mark}" for k in range(len(self.tokens)) for mark in (",", last)], object)
 
-    def spells(self, ids: list[int], data: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids)) == data
 
+class Encoders:
+    """Both sides of a text, unit by unit. A unit begins at a space after a character that isn't
+    white space. Neither tokenizer has a token across such a place: the splitting pattern of A
+    ends there, and no piece of B goes on with a space after another character (a vocabulary
+    with such a piece is refused). So a unit's ids and groups don't depend on its neighbours,
+    and a block encodes and aligns each of its distinct units once."""
 
-@lru_cache(2)
-def _sides(files: Files):
-    import sentencepiece
+    def __init__(self, files: Files):
+        import sentencepiece
 
-    with open(files[0][1], "rb") as f:
-        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    pieces = sentencepiece.SentencePieceProcessor(model_file=files[1])
-    a = Side([ranks.get(k, b"") for k in range(max(ranks) + 1)])
-    b = Side([piece_bytes(pieces.id_to_piece(k)) for k in range(pieces.get_piece_size())])
-    if len(a.tokens) * len(b.tokens) >= 1 << _SHIFT:
-        raise ValueError("the two vocabularies have too many pairs of ids")
-    return a, b, pieces, np.concatenate([a.written("|"), b.written(";")])
+        with open(files[0][1], "rb") as f:
+            ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+        self.files, self.pieces = files, sentencepiece.SentencePieceProcessor(model_file=files[1])
+        pieces = [self.pieces.id_to_piece(k) for k in range(self.pieces.get_piece_size())]
+        if any(re.search("[^▁]▁", p) for p in pieces):
+            raise ValueError("a piece goes on with a space after another character")
+        self.a, self.b = Side([ranks.get(k, b"") for k in range(max(ranks) + 1)]), Side([piece_bytes(p) for p in pieces])
+        if len(self.a.tokens) * len(self.b.tokens) >= 1 << _SHIFT:
+            raise ValueError("the two vocabularies have too many pairs of ids")
+        self.space = self.pieces.piece_to_id("▁")
+        self.written = np.concatenate([self.a.written("|"), self.b.written(";")])
 
+    def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each unit by both sides; B adds the space itself."""
+        near = _encoders(self.files[0])[1].encode_ordinary  # what token_ids takes where no character is far
+        a = [near(u) if u.isascii() else token_ids(u, self.files[0]) for u in units]
+        b = self.pieces.encode([u[1:] for u in units], num_threads=1) if units else []
+        return a, [y if len(u) > 1 else [self.space] for u, y in zip(units, b, strict=True)]
 
-def encoded(texts: list[str | None], files: Files) -> Iterator[tuple[list[int], list[int]]]:
-    """The ids of both sides of each text; none where either doesn't spell the text."""
-    a, b, pieces, _ = _sides(files)
-    for text in texts:
-        if not isinstance(text, str) or not text:
-            yield [], []
-            continue
-        x, y, data = token_ids(" " + text, files[0]), pieces.encode(text, num_threads=1), (" " + text).encode()
-        yield (x, y) if a.spells(x, data) and b.spells(y, data) else ([], [])
+
+_UNITS = re.compile(r"(?<=\S)(?= )")
+_ODD_SPACE = re.compile(r"\s ")
+encoders = lru_cache(2)(Encoders)
+
+
+def units_of(text: str | None) -> list[str]:
+    """A space and the text, as units."""
+    if not isinstance(text, str) or not text:
+        return []
+    text = " " + text
+    if _ODD_SPACE.search(text):
+        return _UNITS.split(text)
+    return [" " + x for x in text[1:].split(" ")]
 
 
 def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,42 +123,86 @@ def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
 
 
+class Aligned:
+    """Distinct units with their groups and links: ``n_a, n_b, n_groups, said, right`` by unit, and the
+    links of unit k as ``code[link[k]:link[k + 1]]``."""
+
+    def __init__(self, units: list[str], enc: Encoders):
+        x, y = enc.ids(units)
+        spelled = lambda side, ids: b"".join(map(side.tokens.__getitem__, ids))
+        data = [u.encode() for u in units]
+        self.right = np.array([spelled(enc.a, p) == d == spelled(enc.b, q) for d, p, q in zip(data, x, y, strict=True)], bool)
+        for k in np.flatnonzero(~self.right):  # of what isn't spelled right no groups are made
+            x[k], y[k] = [], []
+        sizes = np.array([[len(p), len(q)] for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+        self.n_a, self.n_b = sizes.T
+        a, b = (np.array([k for ids in side for k in ids], np.int64) for side in (x, y))
+        ga, gb = shared_ends(np.cumsum(enc.a.lengths[a]), np.cumsum(enc.b.lengths[b]))
+        groups = int(ga[-1]) + 1 if len(ga) else 0
+        na, nb = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
+        to_a, to_b = np.cumsum(na), np.cumsum(nb)  # where a group's tokens end
+
+        # text of the groups: a token's place in it, and whether it ends its side of a group
+        flat = np.zeros(len(a) + len(b), np.int64)
+        flat[np.arange(len(a)) + (to_b - nb)[ga]] = 2 * a + (np.arange(len(a)) + 1 == to_a[ga])
+        flat[np.arange(len(b)) + to_a[gb]] = 2 * len(enc.a.tokens) + 2 * b + (np.arange(len(b)) + 1 == to_b[gb])
+        upto = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
+        self.said = np.array(["".join(enc.written[flat[i:j]])[:-1] for i, j in zip(upto[:-1], upto[1:], strict=True)], object)
+
+        # links: each A token with every B token of its group
+        each = nb[ga]
+        opens = np.repeat((to_b - nb)[ga] - (np.cumsum(each) - each), each)
+        self.code = np.repeat(a * len(enc.b.tokens), each) + b[opens + np.arange(len(opens))]
+        at = np.concatenate([[0], np.cumsum(sizes[:, 0])])
+        self.link = np.concatenate([[0], np.cumsum(each)])[at]
+        ends = np.concatenate([[0], np.cumsum(np.append(ga[1:] != ga[:-1], True))]) if len(ga) else np.zeros(1, np.int64)
+        self.n_groups = np.diff(ends[at])
+
+
 def aligned_block(texts: list[str | None], files: Files) -> dict[str, list]:
     """Columns of ``align`` for the documents of one block."""
-    side_a, side_b, _, written = _sides(files)
-    ids = list(encoded(texts, files))
-    sizes = np.array([[len(x), len(y)] for x, y in ids], np.int64).reshape(-1, 2)
-    a = np.fromiter((k for x, _ in ids for k in x), np.int64, int(sizes[:, 0].sum()))
-    b = np.fromiter((k for _, y in ids for k in y), np.int64, int(sizes[:, 1].sum()))
-    ga, gb = shared_ends(np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b]))
-    groups = int(ga[-1]) + 1 if len(ga) else 0
-    na, nb = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
-    to_a, to_b = np.cumsum(na), np.cumsum(nb)  # where a group's tokens end
-
-    # text of the groups: a token's place in it, and whether it ends its side of a group
-    flat = np.zeros(len(a) + len(b), np.int64)
-    flat[np.arange(len(a)) + (to_b - nb)[ga]] = 2 * a + (np.arange(len(a)) + 1 == to_a[ga])
-    flat[np.arange(len(b)) + to_a[gb]] = 2 * len(side_a.tokens) + 2 * b + (np.arange(len(b)) + 1 == to_b[gb])
-    upto = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
-    text = written[flat]
-    said = ["".join(text[i:j])[:-1] for i, j in zip(upto[:-1], upto[1:], strict=True)]
-
-    # links: each A token with every B token of its group
-    doc = np.repeat(np.arange(len(ids)), sizes[:, 0])
-    each = nb[ga]
-    first = np.repeat((to_b - nb)[ga] - (np.cumsum(each) - each), each)
-    code = np.repeat((doc << _SHIFT) + a * len(side_b.tokens), each) + b[first + np.arange(len(first))]
-    held, times = np.unique(code, return_counts=True)
+    number: dict[str, int] = {}
+    own = [np.array([number.setdefault(u, len(number)) for u in units_of(t)], np.int64) for t in texts]
+    units = Aligned(list(number), encoders(files))
+    own = [u if units.right[u].all() else u[:0] for u in own]  # token bytes follow the characters: a text is spelled if its units are
+    size = np.array([len(u) for u in own], np.int64)
+    every, doc = np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(np.arange(len(texts)), size)
+    total = lambda by_unit: np.bincount(doc, weights=by_unit[every], minlength=len(texts)).astype(np.int64)
+    n_links = np.diff(units.link)
+    held, times, first = [], [], 0
+    while first < len(every):  # about a million links at a time
+        to = max(first + 1, int(np.searchsorted(np.cumsum(n_links[every[first:]]), SLICE, "right")) + first)
+        to = int(np.searchsorted(doc, doc[to - 1], "right"))  # whole documents
+        u, d = every[first:to], doc[first:to]
+        each = n_links[u]
+        place = np.repeat(units.link[u] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        found, often = np.unique((np.repeat(d, each) << _SHIFT) + units.code[place], return_counts=True)
+        held.append(found)
+        times.append(often.astype(np.int32))
+        first = to
+    held, times = np.concatenate([np.zeros(0, np.int64), *held]), np.concatenate([np.zeros(0, np.int32), *times])
     pairs, place, docs = np.unique(held & ((1 << _SHIFT) - 1), return_inverse=True, return_counts=True)
-    cuts = np.searchsorted(held >> _SHIFT, np.arange(1, len(ids)))
-    links = np.bincount(doc, weights=each, minlength=len(ids)).astype(np.int64)
+    cuts = np.searchsorted(held >> _SHIFT, np.arange(1, len(texts)))
+    rest = [None] * (len(texts) - 1)
     return {
-        "n_a": sizes[:, 0], "n_b": sizes[:, 1], "n_groups": np.bincount(doc, weights=1 / na[ga], minlength=len(ids)).round().astype(np.int64),
-        "n_links": links, "groups": said, "place": np.split(place.astype(np.int32), cuts), "times": np.split(times.astype(np.int32), cuts),
-        "pairs": [pairs] + [None] * (len(ids) - 1), "docs": [docs] + [None] * (len(ids) - 1),
+        "n_a": total(units.n_a), "n_b": total(units.n_b), "n_groups": total(units.n_groups), "n_links": total(n_links), "groups": [";".join(units.said[u]) for u in own],
+        "place": np.split(place.astype(np.int32), cuts), "times": np.split(times, cuts), "pairs": [pairs, *rest], "docs": [docs, *rest],
     }
 
 
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents, of ``BLOCK_ROWS`` and ``BLOCK_CHARS`` at most (or one document)."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > first and (k - first >= BLOCK_ROWS or size + n > BLOCK_CHARS):
+            yield first, k
+            first, size = k, 0
+        size += n
+    if texts:
+        yield first, len(texts)
+
+
 def align(docs: DataFrame, files: Files | None = None) -> DataFrame:
     """Per document: doc_id (as text), n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3``),
     and for ``weighed``: block, the places of its pairs in the block's list, how often it has
@@ -149,9 +213,12 @@ def align(docs: DataFrame, files: Files | None = None) -> DataFrame:
     def go(frames):
         from pyspark import TaskContext
 
-        for k, f in enumerate(f for f in frames if len(f)):
-            block = (TaskContext.get().partitionId() << 32) + k
-            yield pd.DataFrame({"doc_id": f["doc_id"], "block": block, **aligned_block(f["text"].tolist(), files)})
+        block = TaskContext.get().partitionId() << 32
+        for f in frames:
+            ids, texts = f["doc_id"].tolist(), [t if isinstance(t, str) else None for t in f["text"]]
+            for a, b in blocks(texts):
+                yield pd.DataFrame({"doc_id": ids[a:b], "block": block, **aligned_block(texts[a:b], files)})
+                block += 1
 
     # as text a null id stays null in pandas
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
@@ -169,7 +236,7 @@ def block_pairs(aligned: DataFrame) -> DataFrame:
 def link_counts(pairs: DataFrame, files: Files | None = None) -> DataFrame:
     """``pair, a, b, count, best_a, best_b``: how many documents hold a pair linked, and the
     largest such count of its A id and of its B id."""
-    width = len(_sides(files or vocabularies())[1].tokens)
+    width = len(encoders(files or vocabularies()).b.tokens)
     counts = pairs.groupBy("pair").agg(F.sum("docs").alias("count"))
     counts = settle(counts.withColumns({"a": F.floor(F.col("pair") / width), "b": F.col("pair") % width}), "pair_counts")
     best = lambda side: F.broadcast(counts.groupBy(side).agg(F.max("count").alias(f"best_{side}")))  # noqa: E731  a row an id
