@@ -67,7 +67,7 @@ def blocks(md: str | None) -> list[tuple[str, int | None, str | None, str]]:
 
 def markdown_blocks(docs: DataFrame, column: str = "markdown") -> DataFrame:
     """``doc_id, block, type, level, lang, text``."""
-    parse = F.udf(blocks, f"array<{BLOCK}>")
+    parse = F.udf(blocks, f"array<{BLOCK}>", useArrow=True)
     return docs.select("doc_id", F.posexplode(parse(column)).alias("block", "b")).select("doc_id", "block", "b.*")
 
 
@@ -81,7 +81,7 @@ def inline_runs(md: Column) -> Column:
             out.append((code or both or bold or italic or plain, bool(both or bold), bool(both or italic), bool(code)))
         return out
 
-    return F.udf(runs, "array<struct<text:string,bold:boolean,italic:boolean,code:boolean>>")(md)
+    return F.udf(runs, "array<struct<text:string,bold:boolean,italic:boolean,code:boolean>>", useArrow=True)(md)
 
 
 def page_blocks(text: str | None) -> list[tuple[str, int | None, str | None, str]]:
@@ -135,5 +135,5 @@ def page_blocks(text: str | None) -> list[tuple[str, int | None, str | None, str
 
 def structure(pages: DataFrame) -> DataFrame:
     """``doc_id, page, block, type, lang, text`` of ``pages(doc_id, page, text)``."""
-    parse = F.udf(page_blocks, f"array<{BLOCK}>")
+    parse = F.udf(page_blocks, f"array<{BLOCK}>", useArrow=True)
     return pages.select("doc_id", "page", F.posexplode(parse("text")).alias("block", "b")).select("doc_id", "page", "block", "b.type", "b.lang", "b.text")

@@ -129,7 +129,7 @@ def loose_json(text: str | None) -> str | None:
 def parsed_reply(reply: Column, schema: str) -> Column:
     """A reply as ``schema``: Spark's own parser where it can, else the mended text."""
     strict = F.from_json(reply, schema)
-    mended = F.from_json(F.udf(loose_json, "string")(reply), schema)
+    mended = F.from_json(F.udf(loose_json, "string", useArrow=True)(reply), schema)
     return F.when(F.try_parse_json(reply).isNotNull(), strict).otherwise(mended)
 
 

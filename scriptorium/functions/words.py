@@ -18,6 +18,42 @@ GENERIC_WORDS = (
     "includes include contains contain another called known study subset based allows allow shows show given found"
 ).split()
 
+# Everyday words that make poor quiz answers even when they are frequent.
+PLAIN_WORDS = (
+    "before after event events software tool tools name names description category popular lightweight platform edition "
+    "version following recommended problem problems code make sure please kindly various advanced first last "
+    "remaining important simple basic general specific common different new old good best main key important "
+    "page pages section chapter example figure table use user users time times day days way ways part parts "
+    "development management framework environment application applications service services server integrated "
+    "community edition standard support features feature information content details level"
+).split()
+
+# Endings of words that name things.
+NOUN_ENDINGS = r"(tion|sion|ment|ness|ity|ance|ence|ism|ogy|ure|ics|ship|hood|ware|work|base|ist|er|or)$"
+
+# What a sentence defines, and what does something in it.
+DEFINED = (
+    r"(?iu)^(?:(?:an?|the)\s+)?(.{3,50}?)\s+(?:is|are|refers to|means|is defined as|is called|is used to|are used to|stands for)\s+(.{12,})$"
+)
+DOING = (
+    r"(?iu)^(?:(?:an?|the)\s+)?([\p{L}][\p{L}\p{N}*-]*(?:\s+[\p{L}\p{N}*-]+){0,2}?)\s+"
+    r"(?:consists? of|occurs? when|uses?|explores?|evaluates?|computes?|enables?|helps?|combines?|discovers?|learns?|builds?|stores?|tracks?|converts?|displays?|contains?|provides?|allows?)(?![A-Za-z0-9_])"
+)
+
+# Lines of a résumé that measure something, what parts its lists of skills, and an address.
+MEASURED = r"(?i)\d+(\.\d+)?\s*(%|x\b|\+|k\b|users|ms\b|hours|days|students|customers|clients)"
+SKILL_SPLIT = r"\s*[,|•;·/]\s*|\s{2,}"
+EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
+
+# What an answer names that a further question can be asked about.
+FIGURE = r"(?i)[^.!?]*?\b\d[\d,.]*\s*(?:%|percent|x\b|ms\b|milliseconds|seconds?|minutes?|hours?|days?|weeks?|users?|students?|people|customers|requests|transactions|times)[^.!?]*"
+CHALLENGE = r"(?i)\b(bug|issue|problem|challenge|outage|failure|error|deadline|bottleneck|crash|conflict|migration|delay)\b"
+TEAM = r"(?i)\b(team|teammates?|manager|client|stakeholders?|colleagues?)\b"
+
+# Technical names (internal capitals, digits, + or #).
+TECHNICAL_SHAPE = r"^[.]?\p{L}[\w.+#-]*$"
+TECHNICAL = r"[a-z][A-Z]|[A-Z]{2,}|\p{L}\d|\+\+|#|^\.[A-Z]|\.js$"
+
 # Words that stay small inside a title.
 SMALL_WORDS = "a an and as at by for from in into of on or the to with".split()
 
@@ -26,9 +62,10 @@ QUESTION_NOISE = "tell describe explain walk through give time about your would
 
 # Suffixes of the search stemmer, in the order in which they are tried.
 SEARCH_SUFFIXES = (
-    "izations isations ization isation ations ation ements ement ments ment ness ities ity ings ing "
-    "izes ises ized ised ize ise ers er ies es ed ly al s"
-).split()
+    "izations", "isations", "ization", "isation", "ations", "ation", "ements", "ement", "ments", "ment", "ness",
+    "ities", "ity", "ings", "ing", "izes", "ises", "ized", "ised", "ize", "ise", "ers", "er", "ies", "es", "ed", "ly",
+    "al", "s",
+)
 
 # Roman numerals of unit numbers.
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}

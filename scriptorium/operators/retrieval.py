@@ -10,6 +10,8 @@ comes last.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,13 +236,21 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_idx", "text"))
 
 
-def centroid_scores(docs: DataFrame) -> DataFrame:
+def paged_sentences(pages: DataFrame) -> DataFrame:
+    """``doc_id, sent_idx, text, page`` of ``pages(doc_id, page, text)``; ``sent_idx`` counts through the document."""
+    split = pages.select("doc_id", "page", F.posexplode(T.split_sentences(F.col("text"))).alias("i", "text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "i")) - 1
+    return split.select("doc_id", place.alias("sent_idx"), "text", "page")
+
+
+def centroid_scores(docs: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """``doc_id, sent_idx, text, score``: the cosine of each usable sentence's TF-IDF vector to
-    its document's centroid, with a little more for the first two sentences.
+    its document's centroid, with a little more for the first two sentences. The sentences are those
+    of ``split(doc_id, sent_idx, text)``, if given.
 
     Everything is per document: a window over (document, term) gives frequencies, so a term
     common to all documents makes no large group."""
-    split = sentences(docs).withColumn("terms", T.content_terms(F.col("text")))
+    split = (sentences(docs) if split is None else split).withColumn("terms", T.content_terms(F.col("text")))
     usable = settle(split.where((F.size("terms") >= 4) & (T.word_count(F.col("text")) <= 70)), "sentences").repartition("doc_id")
     tf = usable.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).select("doc_id", "sent_idx", "n", F.explode("terms").alias("term")).groupBy("doc_id", "sent_idx", "n", "term").agg(F.count("*").alias("tf"))
     by_term = Window.partitionBy("doc_id", "term")
@@ -265,42 +275,76 @@ def summarize(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> D
     return picked(docs, sentences_each, alike).drop("pick")
 
 
-def picked(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6) -> DataFrame:
+def distinct_sentences(terms: list[list[str]], order: list[int], most: int, alike: float) -> list[int]:
+    """Of one document's sentences, given by their terms, those picked in ``order`` unless one picked before is at
+    least ``alike`` by the cosine of TF-IDF vectors. A sentence meets the picked ones through the terms they share."""
+    df: dict[str, int] = {}
+    for ts in terms:
+        for t in set(ts):
+            df[t] = df.get(t, 0) + 1
+    held: dict[str, list[tuple[int, float]]] = {}
+    norms, kept = {}, []
+    for i in order:
+        if len(kept) >= most:
+            break
+        v: dict[str, float] = {}
+        for t in terms[i]:
+            v[t] = v.get(t, 0.0) + math.log(1 + len(terms) / df[t])
+        norm, dots = sum(w * w for w in v.values()), {}
+        for t, w in v.items():
+            for j, x in held.get(t, ()):
+                dots[j] = dots.get(j, 0.0) + w * x
+        if all(d / (math.sqrt(norm * norms[j]) or 1.0) < alike for j, d in dots.items()):
+            kept.append(i)
+            norms[i] = norm
+            for t, w in v.items():
+                held.setdefault(t, []).append((i, w))
+    return kept
+
+
+def picked(docs: DataFrame, sentences_each: int = 5, alike: float = 0.6, split: DataFrame | None = None) -> DataFrame:
     """``doc_id, sent_idx, text, pick``: sentences picked by score unless one already picked is too
-    like them. The first ``n`` picks are those that ``n`` alone would give. The greedy pick works on
-    one document's sentences at a time."""
-    import numpy as np
+    like them. The first ``n`` picks are those that ``n`` alone would give. A document's sentences are
+    one row; many documents are worked on at a time."""
     import pandas as pd
 
-    scored = centroid_scores(docs).withColumn("terms", T.content_terms(F.col("text")))
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sent_idx", kind="stable").reset_index(drop=True)
-        df: dict[str, int] = {}
-        for ts in rows["terms"]:
-            for t in set(ts):
-                df[t] = df.get(t, 0) + 1
-        vectors = []
-        for ts in rows["terms"]:
-            v: dict[str, float] = {}
-            for t in ts:
-                v[t] = v.get(t, 0.0) + float(np.log(1 + len(rows) / df[t]))
-            vectors.append(v)
-        norms = [sum(w * w for w in v.values()) for v in vectors]
-
-        def cosine(a: int, b: int) -> float:
-            x, y = sorted((vectors[a], vectors[b]), key=len)
-            return sum(w * y.get(t, 0.0) for t, w in x.items()) / (np.sqrt(norms[a] * norms[b]) or 1.0)
-
-        kept: list[int] = []
-        for i in rows.sort_values(["score", "sent_idx"], ascending=[False, True], kind="stable").index:
-            if len(kept) >= sentences_each:
-                break
-            if all(cosine(j, i) < alike for j in kept):
-                kept.append(i)
-        return rows.loc[kept, ["doc_id", "sent_idx", "text"]].assign(pick=range(1, len(kept) + 1)).sort_values("sent_idx")
-
-    return scored.groupBy("doc_id").applyInPandas(pick, f"doc_id {dict(docs.dtypes)['doc_id']}, sent_idx int, text string, pick int")
+    scored = centroid_scores(docs, split).withColumn("terms", T.content_terms(F.col("text")))
+    listed = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "score", "terms", "text"))).alias("s"))
+    part = lambda c: F.transform("s", lambda x: x[c]).alias(c)
+    rows = listed.select("doc_id", *map(part, ("sent_idx", "score", "terms", "text")))
+
+    def pick(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                order = sorted(range(len(r.score)), key=lambda i: (-r.score[i], i))
+                for n, i in enumerate(distinct_sentences([list(t) for t in r.terms], order, sentences_each, alike), 1):
+                    out.append((r.doc_id, r.sent_idx[i], r.text[i], n))
+            yield pd.DataFrame(out, columns=["doc_id", "sent_idx", "text", "pick"])
+
+    # a null id would become a number in pandas
+    kind = dict(scored.dtypes)["doc_id"]
+    found = rows.withColumn("doc_id", F.to_json(F.struct("doc_id"))).mapInPandas(pick, "doc_id string, sent_idx int, text string, pick int")
+    return found.withColumn("doc_id", F.from_json("doc_id", f"doc_id {kind}")["doc_id"])
+
+
+#: Words that a model reads at once, by where it runs.
+BUDGETS = {"hosted": 120_000, "remote": 6_000, "local": 1_100}
+
+
+def material(pages: DataFrame, budget: int) -> DataFrame:
+    """``doc_id, words, condensed, text`` of ``pages(doc_id, page, text)``: what a model gets to summarise. A document
+    of more than ``budget`` words is its most central sentences, ``budget / 24`` of them in reading order, each
+    with its page; a shorter one is its pages. Documents without a word are left out."""
+    sizes = settle(pages.groupBy("doc_id").agg(F.sum(T.word_count(F.col("text"))).cast("long").alias("words")).where("words > 0"), "sizes")
+    of = lambda which: pages.join(sizes.where(which).select("doc_id"), "doc_id", "left_semi")
+    place = F.concat(F.lit("[p. "), (F.col("page") + 1).cast("string"), F.lit("]"))
+    joined = lambda rows, at, line, sep: rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), line.alias("line")))), lambda x: x["line"]), sep).alias("text"))
+    split = settle(paged_sentences(of(F.col("words") > budget)), "paged")
+    central = picked(pages, budget // 24, split=split.drop("page")).join(split.select("doc_id", "sent_idx", "page"), ["doc_id", "sent_idx"])
+    short = of(F.col("words") <= budget).where(F.col("text").rlike(r"\S"))
+    texts = joined(central, "sent_idx", F.concat(place, F.lit(" "), "text"), "\n").unionByName(joined(short, "page", F.concat(place, F.lit("\n"), T.strip(F.col("text"))), "\n\n"))
+    return sizes.withColumn("condensed", F.col("words") > budget).join(texts, "doc_id")
 
 
 def _candidates(text: Column) -> Column:
@@ -325,17 +369,21 @@ def keyword_candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(_candidates(F.col("text"))))
 
 
-def keywords(docs: DataFrame, n: int = 8) -> DataFrame:
-    """``doc_id, rank, term``: terms by weight (ties: first seen), none part of another."""
-    ordered = F.array_sort(F.transform(_candidates(F.col("text")), lambda c: F.struct((-c["weight"]).alias("order"), c["first_pos"].alias("at"), c["term"].alias("term"))))
+def key_terms(text: Column, n: int = 8) -> Column:
+    """The array of a text's terms by weight (ties: first seen), none part of another."""
+    ordered = F.array_sort(F.transform(_candidates(text), lambda c: F.struct((-c["weight"]).alias("order"), c["first_pos"].alias("at"), c["term"].alias("term"))))
 
     def step(kept: Column, x: Column) -> Column:
         over = (F.size(kept) >= n) | ((x["order"] > -2) & (F.size(kept) >= 3))
         inside = F.exists(kept, lambda y: F.contains(y, x["term"]) | F.contains(x["term"], y))
         return F.when(over, kept).when(inside, kept).otherwise(F.array_append(kept, x["term"]))
 
-    picked = F.aggregate(ordered, F.array().cast("array<string>"), step)
-    return docs.select("doc_id", F.posexplode(picked).alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
+    return F.aggregate(ordered, F.array().cast("array<string>"), step)
+
+
+def keywords(docs: DataFrame, n: int = 8) -> DataFrame:
+    """``doc_id, rank, term``: ``key_terms`` of each document."""
+    return docs.select("doc_id", F.posexplode(key_terms(F.col("text"), n)).alias("i", "term")).select("doc_id", (F.col("i") + 1).alias("rank"), "term")
 
 
 def acronyms(docs: DataFrame, most: int = 30) -> DataFrame:

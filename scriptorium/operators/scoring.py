@@ -118,15 +118,15 @@ def resume_profile(docs: DataFrame) -> DataFrame:
     """``doc_id, name, email, skills, metrics, words, lines`` of each résumé."""
     rows = resume_lines(docs)
     name = (F.col("section") == "header") & (F.size(F.split("line", " ")) <= 4) & ~F.col("line").rlike(r"[@\d/:|]") & F.col("line").rlike(r"^\p{Lu}")
-    metric = F.col("line").rlike(r"(?i)\d+(\.\d+)?\s*(%|x\b|\+|k\b|users|ms\b|hours|days|students|customers|clients)") & (F.size(F.split("line", " ")) >= 5)
+    metric = F.col("line").rlike(W.MEASURED) & (F.size(F.split("line", " ")) >= 5)
     bare = F.regexp_replace("line", r"^[^:]{2,30}:\s*", "")
-    parts = F.filter(F.transform(F.split(bare, r"\s*[,|•;·/]\s*|\s{2,}"), T.strip), lambda x: F.length(x).between(2, 31) & (F.size(F.split(x, " ")) <= 4))
+    parts = F.filter(F.transform(F.split(bare, W.SKILL_SPLIT), T.strip), lambda x: F.length(x).between(2, 31) & (F.size(F.split(x, " ")) <= 4))
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == "skills", F.struct("line_no", parts.alias("p"))))), lambda x: x["p"]))
     per = rows.groupBy("doc_id").agg(
         F.min_by(F.when(name, F.col("line")), F.when(name, F.col("line_no"))).alias("name"), listed.alias("listed"),
         F.transform(F.array_sort(F.collect_list(F.when(metric, F.struct("line_no", "line")))), lambda x: x["line"]).alias("metrics"), F.sum(T.word_count(F.col("line"))).alias("words"),
     )
-    email = F.regexp_extract("text", r"[\w.+-]+@[\w-]+\.[\w.]+", 0)
+    email = F.regexp_extract("text", W.EMAIL, 0)
     found = docs.select("doc_id", email.alias("email"), T.tech_terms(F.col("text")).alias("tech")).join(per, "doc_id")
     every = F.concat("listed", "tech")
     distinct = T.let(every, lambda a: F.slice(F.filter(a, lambda x, i: F.array_position(F.transform(a, F.lower), F.lower(x)) == i + 1), 1, 30))
@@ -136,9 +136,9 @@ def resume_profile(docs: DataFrame) -> DataFrame:
 def follow_up_focus(answers: DataFrame) -> DataFrame:
     """``answers`` with ``focus``: a skill, a figure or a challenge that an answer of twelve or more words names."""
     text = F.coalesce("answer", F.lit(""))
-    metric = F.regexp_extract(text, r"(?i)[^.!?]*?\b\d[\d,.]*\s*(?:%|percent|x\b|ms\b|milliseconds|seconds?|minutes?|hours?|days?|weeks?|users?|students?|people|customers|requests|transactions|times)[^.!?]*", 0)
-    challenge = F.lower(F.regexp_extract(text, r"(?i)\b(bug|issue|problem|challenge|outage|failure|error|deadline|bottleneck|crash|conflict|migration|delay)\b", 1))
-    team = F.when(text.rlike(r"(?i)\b(team|teammates?|manager|client|stakeholders?|colleagues?)\b"), "team")
+    metric = F.regexp_extract(text, W.FIGURE, 0)
+    challenge = F.lower(F.regexp_extract(text, W.CHALLENGE, 1))
+    team = F.when(text.rlike(W.TEAM), "team")
     some = lambda c: F.nullif(c, F.lit(""))
     focus = F.coalesce(F.get(T.tech_terms(text), F.lit(0)), some(F.substring(T.squash(metric), 1, 120)), some(challenge), team)
     return answers.withColumn("focus", F.when(T.word_count(text) >= 12, focus))

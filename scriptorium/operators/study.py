@@ -22,14 +22,15 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "page", "para").agg(F.array_join(ordered, " ").alias("text"))
 
 
-def facts(pages: DataFrame) -> DataFrame:
-    """``doc_id, page, text``: sentences of 5 to 70 words, mostly letters, each once a document."""
+def facts(pages: DataFrame, placed: bool = False) -> DataFrame:
+    """``doc_id, page, text``: sentences of 5 to 70 words, mostly letters, each once a document; with
+    ``placed`` also ``para, i``, their place on the page."""
     split = paragraphs(pages).select("doc_id", "page", "para", F.posexplode(T.split_sentences(F.col("text"))).alias("i", "s"))
     s = split.withColumn("text", T.strip(F.regexp_replace("s", r"^[\d.)\s]+(?=\p{L})", "")))
     n, letters = T.word_count(F.col("text")), F.regexp_count("text", F.lit(r"\p{L}"))
     good = s.where(n.between(5, 70) & (letters >= F.length("text") * 0.55))
     first = good.groupBy("doc_id", F.lower("text").alias("k")).agg(F.min(F.struct("page", "para", "i", "text")).alias("f"))
-    return first.select("doc_id", "f.page", "f.text")
+    return first.select("doc_id", "f.page", "f.text", *(["f.para", "f.i"] if placed else []))
 
 
 def definitions(docs: DataFrame) -> DataFrame:
@@ -58,9 +59,11 @@ def word_runs(text: Column) -> Column:
 
 
 def term_facts(facts_: DataFrame, terms: DataFrame) -> DataFrame:
-    """``facts_`` with each ``term`` of ``terms(doc_id, term)`` that it mentions, by an equi-join on runs of words."""
-    grams = facts_.withColumn("term", F.explode(word_runs(F.col("text"))))
-    return grams.join(terms, ["doc_id", "term"]).where(T.mentions(F.col("text"), F.col("term")))
+    """``facts_`` with each ``term`` of ``terms(doc_id, term)`` that it mentions, by an equi-join on runs of
+    words: the first four of a term find it, and the whole term decides."""
+    grams = facts_.withColumn("run", F.explode(word_runs(F.col("text"))))
+    keyed = terms.withColumn("run", F.array_join(F.slice(T.tokenize(F.col("term")), 1, 4), " "))
+    return grams.join(keyed, ["doc_id", "run"]).where(T.mentions(F.col("text"), F.col("term"))).drop("run")
 
 
 def term_mentions(facts_: DataFrame, terms: DataFrame) -> DataFrame:
@@ -82,9 +85,12 @@ def important(rows: DataFrame, by: str, weight: str, tie: str, share: float = 0.
 def question_bank(docs: DataFrame, most: int = 16) -> DataFrame:
     """``doc_id, n, type, question, answer, weight, important``: two-mark questions from a
     document's own sentences, in reading order. A sentence gives the first kind that fits:
-    a spelled-out acronym, a list, a definition (with the next sentence), a purpose."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
-    s = R.sentences(docs).withColumn("after", F.lead("text").over(order))
+    a spelled-out acronym, a list, a definition (with the next sentence of its page), a purpose."""
+    from ..sources.tables import pages
+
+    order = Window.partitionBy("doc_id").orderBy("page", "sent_idx")
+    split = pages(docs).select("doc_id", "page", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_idx", "text"))
+    s = split.withColumn("after", F.lead("text").over(Window.partitionBy("doc_id", "page").orderBy("sent_idx")))
     acronym, subject = F.regexp_extract("text", W.SPELLED_OUT, 1), F.regexp_extract("text", W.SUBJECT, 1)
     lister, rest, purpose = F.regexp_extract("text", W.LIST, 1), F.regexp_extract("text", W.LIST, 2), F.regexp_extract("text", W.PURPOSE, 1)
     strong = lambda c: (F.length(c) > 3) & ~c.rlike(W.WEAK_SUBJECT)
@@ -101,7 +107,7 @@ def question_bank(docs: DataFrame, most: int = 16) -> DataFrame:
     )
     answer = F.when((F.col("type") == "Definition") & F.col("after").isNotNull(), F.concat_ws(" ", "text", "after")).otherwise(F.col("text"))
     found = s.withColumn("type", kind).where("type IS NOT NULL").withColumns({"question": asked, "answer": answer})
-    once = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "question").orderBy("sent_idx"))).where("r = 1")
+    once = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "question").orderBy("page", "sent_idx"))).where("r = 1")
     capped = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     weighed = capped.select("doc_id", "n", "type", "question", "answer", F.size(F.array_distinct(T.content_terms(F.col("answer")))).alias("weight"))
     return important(weighed, "doc_id", "weight", "n")
@@ -136,25 +142,10 @@ def notes(docs: DataFrame) -> DataFrame:
 
 
 def quiz_terms(docs: DataFrame, most: int = 80) -> DataFrame:
-    """``doc_id, term, score, n``: defined subjects (3) and key phrases (2) with the number of
-    facts that mention them; a term inside a longer one that is as strong goes."""
-    from ..sources.tables import pages
+    """``doc_id, term, shown, score, n``: what a quiz can ask for (``quiz_terms.chosen``)."""
+    from . import quiz_terms as Q
 
-    subject = definitions(docs).select("doc_id", F.regexp_replace("subject", r"\s+", " ").alias("term"), F.lit(3.0).alias("s"))
-    phrases = R.keywords(docs, 30).where("term LIKE '% %'").select("doc_id", "term", F.lit(2.0).alias("s"))
-    plain = T.strings(sorted({*W.STOP_WORDS, *W.GENERIC_WORDS}))
-    ends = F.split("term", " ")
-    good = ~F.array_contains(plain, F.element_at(ends, 1)) & ~F.array_contains(plain, F.element_at(ends, -1)) & F.length("term").between(2, 40) & (F.size(ends) <= 4)
-    scored = subject.unionByName(phrases).where(good).groupBy("doc_id", "term").agg(F.sum("s").alias("score"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
-    best = scored.withColumn("r", F.row_number().over(order)).where("r <= 250").drop("r")
-    counted = best.join(term_mentions(facts(pages(docs)), best).withColumnRenamed("facts", "n"), ["doc_id", "term"])
-    a, b = counted.alias("a"), counted.alias("b")
-    # at most 250 terms a document on either side
-    inside = a.join(b, F.expr("a.doc_id = b.doc_id AND length(b.term) > length(a.term) AND (b.n >= a.n OR b.score >= a.score) AND contains(' ' || b.term || ' ', ' ' || a.term || ' ')")).select("a.doc_id", "a.term").distinct()
-    kept = counted.join(inside, ["doc_id", "term"], "left_anti")
-    final = Window.partitionBy("doc_id").orderBy(F.desc("score"), "n", "term")
-    return kept.withColumn("r", F.row_number().over(final)).where(F.col("r") <= most).select("doc_id", "term", "score", "n")
+    return Q.quiz_terms(docs, most)
 
 
 def quiz_sets(docs: DataFrame, seed: int = 1, sets: int = 3, each: int = 10) -> DataFrame:
@@ -170,7 +161,7 @@ def quiz_sets(docs: DataFrame, seed: int = 1, sets: int = 3, each: int = 10) ->
     per_term = per_fact.withColumn("t", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy(mixed)))
     dealt = per_term.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("t", mixed)) - 1).where(F.col("n") < sets * each)
     others = terms.select("doc_id", F.col("term").alias("other"))
-    apart = ~F.contains("other", F.col("term")) & ~F.contains("term", F.col("other"))
+    apart = ~F.contains(F.lower("other"), F.lower("term")) & ~F.contains(F.lower("term"), F.lower("other"))
     distance = F.abs(T.word_count(F.col("other")) - T.word_count(F.col("term")))
     wrong = (
         dealt.select("doc_id", "n", "term").join(others, "doc_id").where(apart)  # at most 80 terms a document

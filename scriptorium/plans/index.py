@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunk_index, folds
+from ..operators import retrieval as R
 from ..sources.scratch import shared
 from ..sources.tables import pages, spread, table
 from . import sql as S
@@ -53,7 +54,12 @@ def chunk_answers(spark, d):
     return chunk_index.answers(spark, folder, chunk_index.search(spark, folder, asked, 4), asked)
 
 
-QUERIES = {f.__name__: f for f in (indexed_bm25, chunk_bm25, updated_bm25, chunk_answers)}
+def summary_material(spark, d):
+    """What a model on a device gets of each document; a form feed starts a page."""
+    return R.material(pages(_docs(spark, d)), R.BUDGETS["local"]).select("doc_id", "words", "condensed", F.md5("text").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (summary_material, indexed_bm25, chunk_bm25, updated_bm25, chunk_answers)}
 
 _PAGES = """pg AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(12)) AS x FROM documents))"""
 _CHUNKS = f"""{_PAGES},

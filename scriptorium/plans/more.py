@@ -22,14 +22,12 @@ def _event_stream(spark, d):
 def stream_sessions(spark, d):
     """Sessions of a stream over what is there; equal to those of the table."""
     folder = shared(spark, "sessions")
-    live.drain(live.heartbeat_sessions(_event_stream(spark, d)), folder)
-    return spark.read.parquet(f"{folder}/out").select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
+    return live.whole(_event_stream(spark, d), live.heartbeat_sessions, folder).select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
 
 
 def stream_activity(spark, d):
     folder = shared(spark, "activity")
-    live.drain(live.activity(_event_stream(spark, d)), folder)
-    return spark.read.parquet(f"{folder}/out").select(F.unix_micros("started").alias("started"), "event_type", "events")
+    return live.whole(_event_stream(spark, d), live.activity, folder).select(F.unix_micros("started").alias("started"), "event_type", "events")
 
 
 def page_structure(spark, d):

@@ -106,7 +106,7 @@ def test_only_asked_terms_are_read_and_blocks_skipped(spark, monkeypatch, capsys
     assert opened[1] < opened[0]
     opened.clear()
     X.search(spark, folder, queries.withColumn("text", F.lit("term2")), 3).collect()
-    assert opened[1] < opened[0] / 4
+    assert opened[1] < opened[0] / 2
 
 
 def test_joins_where_terms_are_too_many_for_a_filter(spark, monkeypatch):

@@ -255,4 +255,4 @@ def test_term_cards_equal_greedy_pick(spark):
                 want.append((d, term))
         got = sorted((r["doc_id"], r["term"]) for r in study.term_cards(docs, most).collect())
         assert got == sorted(want)
-        assert len(got) == (5 if most == 40 else 2)
+        assert len(got) == (4 if most == 40 else 2)  # oxygen and respiration, which is the stronger, leave glucose no fact
