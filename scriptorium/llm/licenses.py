@@ -72,7 +72,11 @@ SPELLINGS = (
     ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
     ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("per cent", "percent"), ("https", "http"),
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A line that begins with a notice and has its sign, a year or "by". A line of a sentence, wherever it is
+#: wrapped ("copyright notice and this permission notice"), and a list's item (c) are none.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*(copyright[ \t,:]*(by[ \t]|[^\n]*(\(c\)|©|[0-9]{4}|<year>|\[year\]|\[yyyy\]))|(\(c\)|©)[ \t]*(copyright|by[ \t]|[^\n]{0,3}[0-9]{4}))[^\n]*"
+)
 
 
 def canonical(text: Column) -> Column:
@@ -104,7 +108,7 @@ def license_scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
 def _oracle() -> str:
     def form(text: str) -> str:
         s = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        s = f"regexp_replace({s}, '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+        s = f"regexp_replace({s}, '{COPYRIGHT_LINE}', '\\1', 'g')"
         s = f"' ' || regexp_replace({s}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' '"
         for a, b in SPELLINGS:
             s = f"replace({s}, ' {a} ', ' {b} ')"

@@ -408,6 +408,23 @@ def test_secrets_in_odd_tables(spark):
 # ---------------------------------------------------------------- licences, chat
 
 
+def test_licenses_wrapped_at_any_width(spark):
+    import textwrap
+
+    wrap = lambda text, n: "\n\n".join("\n".join(textwrap.wrap(p, n, break_long_words=False, break_on_hyphens=False)) for p in re.split(r"\n\s*\n", text))
+    cases = [(k, "Copyright (c) 2001-2024, Some Body\n\n" * (n % 2) + wrap(text, n)) for k, text in licenses.KNOWN.items() for n in range(50, 121)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs_of(spark, [t for _, t in cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
+
+
+def test_copyright_lines():
+    import re
+
+    notice = lambda x: bool(re.match(licenses.COPYRIGHT_LINE, x))
+    assert all(map(notice, ["copyright (c) 2020 x", "  copyright 2020 x", "copyright some body 1999", "(c) 2020 x", "© 2020", "copyright by x", "copyright <year> <holder>", "(c) copyright x"]))
+    assert not any(map(notice, ["copyright notice and this permission notice appear", "copyright holders be liable", "(c) you must retain", "the copyright (c) 2020"]))
+
+
 def test_license_variants(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-license"), mit + " More.", "Released under the MIT Licence!", None, "", "Copyright 2020 X"]
