@@ -146,10 +146,10 @@ def _write(spark, path: str, before: State, fresh: DataFrame, gone: DataFrame |
     put(union(changes).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
     put(union(count).agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")), "totals")
 
-    # a block: one term, about one weight, and a share of its chunks by hash
+    # a block: one term, about one weight, one count (so that its bound is near), and a share of its chunks by hash
     mean = rows.agg(F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))  # one row
     weight = F.col("tf") / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("length") / F.col("mean")))
-    leveled = settle(each.crossJoin(F.broadcast(mean)).withColumn("level", F.floor(weight * 16).cast("int")).drop("mean"), "postings")
+    leveled = settle(each.crossJoin(F.broadcast(mean)).withColumn("level", F.floor(weight * 16).cast("int") * 64 + F.least("tf", F.lit(63))).drop("mean"), "postings")
     shares = settle(leveled.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares")), "shares")
     dealt = leveled.join(shares, ["term", "level"]).withColumn("share", F.pmod(F.xxhash64("doc_id", "chunk_id"), "shares").cast("int"))
     blocks = dealt.groupBy("term", "level", "share").agg(
