@@ -17,7 +17,7 @@ and ``vectors`` (doc_id, chunk_id, embedding, segment) where an ``embed`` is giv
 that lists segments and is created exclusively: of two writers one fails. Older versions
 stay readable; ``compact`` rewrites a version as one segment.
 
-``search`` reads the blocks of its own terms only. The best block of each term gives every
+``search`` reads the blocks of its own terms only. The best blocks of each term give every
 query a bound that its k-th chunk reaches; a block whose own maximum and the maxima of the
 query's other terms stay below it together holds no chunk of the answer and is not opened.
 """
@@ -30,7 +30,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -181,9 +181,9 @@ def bounds(spark: SparkSession, path: str, queries: DataFrame, version: int | No
     whole = totals.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("mean")).select("n", F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0)).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = settle(asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "mean"), "weighed")
-    heads = _of_terms(blocks, terms, asked).select("term", "block", "max_tf", "min_length")
+    heads = _of_terms(blocks, terms, asked).select("term", "block", "n", "max_tf", "min_length")
     most = _gain(F.col("max_tf"), F.col("min_length")).alias("most")
-    return weighed, settle(weighed.join(heads, "term").select("query_id", "term", "block", most), "bounds"), terms
+    return weighed, settle(weighed.join(heads, "term").select("query_id", "term", "block", "n", most), "bounds"), terms
 
 
 def _gain(tf: Column, length: Column) -> Column:
@@ -207,8 +207,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, versi
         gained = _alive(hits, dead).join(by_term, ["query_id", "term"]).withColumn("gain", _gain(F.col("tf"), F.col("length")))
         return gained.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum("gain").alias("full")).where("full > 0")
 
-    best = settle(known.groupBy("query_id", "term").agg(F.max("most").alias("top"), F.max_by("block", "most").alias("block")), "best")
-    sure = R.top(scored(best.select("query_id", "term", "block")), k, score="full", tie="chunk_id")
+    best = settle(known.groupBy("query_id", "term").agg(F.max("most").alias("top")), "best")
+    # of each term the best blocks that hold k chunks together
+    ahead = Window.partitionBy("query_id", "term").orderBy(F.desc("most"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = known.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < k)
+    sure = R.top(scored(first.select("query_id", "term", "block")), k, score="full", tie="chunk_id")
     floor = sure.groupBy("query_id").agg(F.min("full").alias("floor"), F.count("*").alias("found")).where(F.col("found") == k).select("query_id", "floor")
     total = best.groupBy("query_id").agg(F.sum("top").alias("total"))
     reach = known.join(best.select("query_id", "term", "top"), ["query_id", "term"]).join(total, "query_id").join(floor, "query_id", "left")
