@@ -118,3 +118,14 @@ def test_mentions_are_whole_words():
     find = Q.Finder(["net", ".net", "a b", "c++"])
     assert sorted(find("the .net and net, planet a b ab c++ c+++")) == sorted([(4, ".net"), (5, "net"), (13, "net"), (25, "a b"), (32, "c++"), (36, "c++")])
     assert list(Q.Finder([])("text")) == []
+
+
+def test_facts_meet_terms_without_a_row_a_run(spark):
+    facts = spark.createDataFrame([(0, "The neural network learns; a NEURAL  network, too."), (0, "A network of neural cells."), (1, "neural network"), (None, "neural network")], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "neural network"), (0, "Neural-Network"), (0, "net"), (0, "a b c d e"), (0, "++"), (1, "network"), (None, "neural")], "doc_id long, term string")
+    counts = study.term_mentions(facts, terms)
+    assert sorted(map(tuple, counts.collect())) == [(0, "neural network", 1), (1, "network", 1)]
+    met = study.term_facts(facts, terms)
+    assert sorted((r["doc_id"], r["term"], r["text"][:5]) for r in met.collect()) == [(0, "neural network", "The n"), (1, "network", "neura")]
+    for df in (counts, met):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
