@@ -23,7 +23,8 @@ Two sets link when ``den * |a & b| >= num * |a | b|``, that is when they differ
   the first elements of the differences in a fixed order (those that the pivot lacks come
   first), of which several must agree, never as all pairs of a group, and are then compared
   by the whole texts. Sets that both link to the
-  pivot are in one component already.
+  pivot are in one component already; others are first compared with one leader of those that
+  share their differences, and only sets of two components are paired.
 
 Equal sets are one node throughout: copies make no pairs. Comparison reads the whole texts
 again and matches 64-bit hashes of their runs. A common signature, a pivot of many sets and
@@ -40,6 +41,7 @@ Further columns, whatever their names, are ignored by the join and kept by ``kee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import components, prepare, row_digest, settle, unused
+from .common import components, discard, prepare, row_digest, settle, unused
 
 WORDS, NUM, DEN = 4, 85, 100
 SLACK = 1.2
@@ -57,6 +59,10 @@ SMALL = 48
 DEALT = 256
 #: Two sets meet by an eighth of the elements that their differences from a pivot must share, at most by so many.
 SHARE = 16
+#: Parts of the signatures that are counted one after the other, so that only one part's shuffle is on disk.
+PARTS = 4
+#: How often the sets that share differences are compared with one of them before any two are paired.
+ROUNDS = 2
 
 
 class Bands:
@@ -164,15 +170,21 @@ def profile(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
 def allocate(rows: DataFrame, bands: Bands) -> DataFrame:
     """``(sig, node, n)``: the signatures by which a set takes part, n being how many hold it."""
-    each = rows.where("signed is not null").select("node", F.explode("signed").alias("sig"))
-    common = settle(each.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least <> most").select("sig", "n"), "common")
-    shared = settle(each.join(common, "sig"), "shared").distinct()
+    every = rows.where("signed is not null").select("node", F.explode("signed").alias("sig"))
+    parts = []
+    for k in range(PARTS):
+        each = every.where(F.pmod(F.shiftrightunsigned("sig", 2), F.lit(PARTS)) == k)
+        common = settle(each.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least <> most").select("sig", "n"), "common")
+        parts.append(settle(each.join(common, "sig"), "shared"))
+        discard(common)
+    shared = reduce(DataFrame.union, parts).distinct()
     info = rows.where("signed is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("even").alias("even"), F.first("odd").alias("odd"))
 
     parity, deletions = F.col("sig").bitwiseAND(1), F.col("sig").bitwiseAND(2) > 0
     own = F.size(F.filter(F.array(*[F.lit(x) for x in bands.low if x <= SMALL]), lambda x: x <= F.col("size"))) - 1
     small = F.when(F.col("size") <= SMALL, own - (own + parity) % 2)  # the row's band, if it can have both schemes
     placed = settle(shared.join(info, "node").withColumn("band", small), "placed")
+    discard(*parts)
     lists = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
     scheme = placed.where("band is not null").groupBy("band").agg((lists(deletions) < lists(~deletions)).alias("delete"))
     by_size = [k for k, (_, near) in enumerate(bands.plans) if near]
@@ -182,7 +194,9 @@ def allocate(rows: DataFrame, bands: Bands) -> DataFrame:
     rarest_last = Window.partitionBy("node", parity).orderBy(F.desc("n"), F.desc("sig"))
     spare = F.when(parity == 0, F.col("even")).otherwise(F.col("odd"))
     whole = chosen.where(~deletions & ~delete).withColumn("common", F.row_number().over(rarest_last)).where(F.col("common") > spare)
-    return whole.select("sig", "node", "n").union(chosen.where(deletions & delete).select("sig", "node", "n"))
+    live = settle(whole.select("sig", "node", "n").union(chosen.where(deletions & delete).select("sig", "node", "n")), "live")
+    discard(placed)
+    return live
 
 
 def differences(s: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,11 +240,41 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     return runs.mapInArrow(go, "a long, b long, linked boolean, size long, apart long, tokens array<long>")
 
 
-def meetings(star: DataFrame, num: int, den: int) -> DataFrame:
-    """``(a, b)``: sets of one pivot, at least one of them not linked to it, that may link: by their
-    sizes the differences must have ``overlap`` elements in common, so their first ``apart -
-    overlap + k`` elements must have k, for any k up to the overlap."""
-    each = star.select("b", "a", "linked", "size", "apart", F.posexplode("tokens").alias("pos", "token"))
+def joined(links: DataFrame, star: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` with more of them, and ``(node, root)``, the components that they make. Of the sets of
+    one pivot that share an element of their differences and aren't all of one component, one leads (the
+    one with the least hash, so that it leads wherever it is); each set is compared with the leader that
+    it meets most often. That is one comparison a set, however large its group."""
+    roots = settle(components(links), "roots")
+    for _ in range(ROUNDS):
+        each = rooted(star, roots).select("b", "a", "root", F.explode("tokens").alias("token"))
+        groups = each.groupBy("b", "token").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a", "root")).alias("led"), F.min("root").alias("low"), F.max("root").alias("high"))
+        led = groups.where("low <> high").select("b", "token", F.col("led.a").alias("leader"), F.col("led.root").alias("of"))
+        met = each.join(led, ["b", "token"]).where("root <> of").groupBy("a", "leader").agg(F.count("*").alias("n"))
+        tried = settle(met.groupBy("a").agg(F.max(F.struct("n", "leader")).alias("m")).select("a", F.col("m.leader").alias("b")), "tried")
+        if tried.isEmpty():
+            break
+        found = settle(compare(tried, texts, n, num, den).where("linked").select("a", "b"), "found")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        roots = settle(components(links), "roots")
+    return links, roots
+
+
+def rooted(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """``star`` with the ``root`` of a's component, a itself where it has no link."""
+    return star.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+
+
+def meetings(star: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: sets of one pivot and of two components, at least one of them not linked to the pivot,
+    that may link: by their sizes the differences must have ``overlap`` elements in common, so their
+    first ``apart - overlap + k`` elements must have k, for any k up to the overlap. An element that
+    only sets of one component have pairs nothing."""
+    every = rooted(star, roots).select("b", "a", "root", "linked", "size", "apart", F.posexplode("tokens").alias("pos", "token"))
+    mixed = every.groupBy("b", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b", "token")
+    each = settle(every.join(mixed, ["b", "token"]), "each")
     ours = F.col("pos") < F.floor(den * F.col("apart") / F.lit(den + num)) + SHARE  # all that a meeting of two unlinked sets can need
     loose, tied = each.where("not linked"), each.where("linked")
 
@@ -241,7 +285,7 @@ def meetings(star: DataFrame, num: int, den: int) -> DataFrame:
         fits = (F.col("u.size") * den >= F.col("v.size") * num) & (F.col("v.size") * den >= F.col("u.size") * num)
         asked = F.least(F.greatest(F.ceil(overlap / 8), F.lit(1)), F.lit(SHARE))
         places = (F.col("u.pos") < F.col("u.apart") - overlap + asked) & (F.col("v.pos") < F.col("v.apart") - overlap + asked)
-        same = (F.col("u.b") == F.col("v.b")) & (F.col("u.token") == F.col("v.token"))
+        same = (F.col("u.b") == F.col("v.b")) & (F.col("u.token") == F.col("v.token")) & (F.col("u.root") != F.col("v.root"))
         return u.join(v, same & once & fits & places).select("u.b", F.col("u.a").alias("a"), F.col("v.a").alias("other"), asked.alias("asked"))
 
     pairs = met(loose.where(ours), loose.where(ours), F.col("u.a") < F.col("v.a")).union(met(loose, tied, F.col("u.a") != F.col("v.a")))
@@ -253,17 +297,21 @@ def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
     """Per row of ``docs``: doc_id, row (a digest of the row), size (of its set), class (a
     number of its component; null where the set is empty)."""
     prepare(docs.sparkSession)
-    rows = settle(profile(docs, n, Bands(num, den)), "profile")
-    live = settle(allocate(rows, Bands(num, den)), "live")
+    profiled = settle(profile(docs, n, Bands(num, den)), "profile")
+    live = allocate(profiled, Bands(num, den))
+    rows = settle(profiled.select("doc_id", "row", "node", "size", F.col("signed").isNotNull().alias("first")), "rows")
+    discard(profiled)  # the signatures are most of what is on disk
 
     # the best-supported member of a group is most likely what the others are copies of
     support = live.groupBy("node").agg(F.sum("n").alias("support"))
     pivots = settle(live.join(support, "node").groupBy("sig").agg(F.max(F.struct("support", "node")).alias("p")).select("sig", F.col("p.node").alias("b")), "pivots")
     pairs = settle(live.join(pivots, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    discard(live, pivots)
     texts = settle(_texts(docs, rows, pairs), "texts")
     star = settle(compare(pairs, texts, n, num, den), "star")
-    more = settle(compare(settle(meetings(star, num, den), "meetings"), texts, n, num, den).where("linked").select("a", "b"), "links")
-    roots = components(star.where("linked").select("a", "b").union(more))
+    links, known = joined(star.where("linked").select("a", "b"), star, texts, n, num, den)
+    more = settle(compare(settle(meetings(star, known, num, den), "meetings"), texts, n, num, den).where("linked").select("a", "b"), "links")
+    roots = components(links.union(more))
 
     return rows.select("doc_id", "row", "node", "size").join(roots, "node", "left").select("doc_id", "row", "size", F.coalesce("root", "node").alias("class"))
 
@@ -279,7 +327,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
 def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(node, text)``: one whole text for each node of ``pairs``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = rows.where("signed is not null").groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
+    chosen = rows.where("first").groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
     keyed = docs.select(row_digest(docs).alias("row"), "text")
     return keyed.join(chosen, "row").select("node", "text").dropDuplicates(["node"])
 

@@ -483,3 +483,12 @@ def test_word_hashes_follow_words_alone():
         hashes += [h[at[i] : at[i + 1]].tolist() for i in range(c.n)]
     assert hashes[0][1] == hashes[1][0] == hashes[4][1] and hashes[0][0] == hashes[3][1] and hashes[2] == []
     assert base64.b64encode(b"x")
+
+
+def test_only_sets_of_two_components_are_paired(spark):
+    star = spark.createDataFrame([(a, 0, False, 100, 30, list(range(30))) for a in range(1, 7)], "a long, b long, linked boolean, size long, apart long, tokens array<long>")
+    roots = lambda pairs: spark.createDataFrame(pairs, "node long, root long")
+    pairs = lambda r: sorted(tuple(x) for x in ngram_join.meetings(star, r, 80, 100).collect())
+    assert len(pairs(roots([]))) == 15
+    assert pairs(roots([(a, 1) for a in range(1, 7)])) == []
+    assert pairs(roots([(a, 1) for a in range(1, 6)])) == [(a, 6) for a in range(1, 6)]
