@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.counts import spans_of
 
 
 def chunk_numbers(counts, target: int = 180, overlap: int = 1) -> list[int]:
@@ -73,8 +74,16 @@ def _fold(step, kind: str = "array<int>"):
     return run
 
 
+def chunk_spans(counts, target: int = 180, overlap: int = 1) -> list[tuple[int, int]]:
+    """Where each chunk of ``chunk_numbers`` begins, counted from 0 and with its overlap, and how many sentences it holds."""
+    numbers = chunk_numbers(counts, target, overlap)
+    starts = [i for i, c in enumerate(numbers) if not i or c != numbers[i - 1]]
+    begins = [max(0, i - overlap) for i in starts]
+    return [(a, b - a) for a, b in zip(begins, [*starts[1:], len(numbers)], strict=False)]
+
+
 def chunk_fold(target: int = 180, overlap: int = 1):
-    return _fold(lambda counts: chunk_numbers(counts, target, overlap))
+    return spans_of(lambda counts: chunk_spans(counts, target, overlap), ("first", "n"))
 
 
 def part_fold(most: int = 300_000):
@@ -94,16 +103,13 @@ def chunks(pages: DataFrame, target: int = 180, overlap: int = 1) -> DataFrame:
     ``pages(doc_id, page, text)``; ids are dense within a document."""
     split = pages.select("doc_id", "page", T.split_sentences(F.col("text")).alias("s"))
     counted = split.withColumn("n", F.transform("s", lambda x: T.word_count(x).cast("int")))
-    placed = counted.withColumn("c", chunk_fold(target, overlap)("n")).where(F.size("s") > 0)
+    placed = counted.withColumn("c", chunk_fold(target, overlap)("n"))  # without a filter, which would part the texts once more
 
-    def made(c: Column) -> Column:
-        start = F.array_position("c", c).cast("int")
-        size = F.size("c") - F.array_position(F.reverse("c"), c).cast("int") + 1 - start + 1
-        back = F.when(c > 0, F.least(F.lit(overlap), start - 1)).otherwise(0)
-        body = F.slice("s", start - back, size + back)
-        return F.struct(c.alias("c"), (start - back - 1).alias("first_sentence"), (size + back).alias("sentences"), F.array_join(body, "\n").alias("text"))
+    def made(x: Column, c: Column) -> Column:
+        body = F.array_join(F.slice("s", x["first"] + 1, x["n"]), "\n")
+        return F.struct(c.alias("c"), x["first"].alias("first_sentence"), x["n"].alias("sentences"), body.alias("text"))
 
-    each = placed.select("doc_id", "page", F.explode(F.transform(F.sequence(F.lit(0), F.element_at("c", -1)), made)).alias("m"))
+    each = placed.select("doc_id", "page", F.explode_outer(F.transform("c", made)).alias("m")).where("m IS NOT NULL")
     before = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY page, m.c)") - 1
     return each.select(
         "doc_id", before.cast("int").alias("chunk_id"), "page", "m.first_sentence", "m.sentences", T.word_count(F.col("m.text")).alias("words"), F.col("m.text").alias("text")

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import models
+from scriptorium.functions import counts
 from scriptorium.functions import text as T
 from scriptorium.operators import folds, fuzzy
 from scriptorium.streaming import live
@@ -124,3 +125,30 @@ def test_failing_model_leaves_the_rows(spark):
     assert [r["reply"] for r in models.generated(df, models.Offline()).collect()] == ["a", ""]
     rows = models.generated(df, Broken()).collect()
     assert len(rows) == 2 and all(r["reply"] is None and "down" in r["error"] for r in rows)
+
+
+def test_chunks_part_a_text_once(spark):
+    """A filter on the parted text would part it a second time."""
+    docs = spark.createDataFrame([(1, 0, "One two three. Four five six.\n" * 3)], "doc_id long, page int, text string")
+    plan = folds.chunks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[-•*▪●]\\s)") == 1
+
+
+def test_chunks_of_a_long_text_take_time_by_its_length(spark):
+    said = [f"Word{i} is said here for the {i}th time." for i in range(12_000)]
+    docs = spark.createDataFrame([(1, 0, " ".join(said)), (2, 0, None), (3, 0, "")], "doc_id long, page int, text string")
+    found = folds.chunks(docs, 16).orderBy("chunk_id").collect()
+    spans = folds.chunk_spans([8] * len(said), 16)
+    assert [(r.doc_id, r.first_sentence, r.sentences) for r in found] == [(1, a, n) for a, n in spans]
+    assert all(r.text == "\n".join(said[r.first_sentence : r.first_sentence + r.sentences]) for r in found)
+
+
+def test_spans_of_chunks():
+    assert folds.chunk_spans([100, 60, 60, 10], 180) == [(0, 2), (1, 3)]
+    assert folds.chunk_spans([500, 500], 180) == [(0, 1), (0, 2)] and folds.chunk_spans([]) == []
+
+
+def test_phrases_of_a_text():
+    assert counts.found_phrases("the old red house of 12 the old red 345".split()) == {
+        "old": (2.0, 2), "old red": (3.0, 3), "red": (2.0, 4), "red house": (1.5, 5), "house": (1.0, 6), "red 345": (1.5, 17)}
+    assert counts.strongest({"old red": (3.0, 3), "old": (2.0, 2), "house": (1.0, 6), "far": (1.0, 9), "off": (1.0, 11)}, 8) == ["old red", "house", "far"]
