@@ -55,3 +55,12 @@ def test_material_by_budget(spark):
     lines = got[1]["text"].split("\n")
     assert got[1]["condensed"] and got[1]["words"] == 405 and len(lines) == 10
     assert all(line[:7] in ("[p. 1] ", "[p. 2] ", "[p. 3] ") and line[7:] in long[int(line[4]) - 1] for line in lines) and [x[4] for x in lines] == sorted(x[4] for x in lines)
+
+
+def test_sentences_are_scored_within_their_document(spark):
+    """No term is a row of a shuffle, and a text is parted once."""
+    docs = spark.createDataFrame([(1, "Red trees grow fast here. Old trees grow slow there. No.\n" * 2), (2, None), (None, "Red trees grow fast here.")], "doc_id long, text string")
+    for df in (R.centroid_scores(docs), R.picked(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and plan.count("[-•*▪●]\\s)") == 1
+        assert {r["doc_id"] for r in df.collect()} == {1}
