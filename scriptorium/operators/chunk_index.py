@@ -6,8 +6,8 @@ Only those that are new or changed are tokenised (and embedded); they make one n
 and what went is noted there as dead. A segment is five Parquet tables:
 
 * ``chunks``: segment, doc_id, chunk_id, digest, length, text, terms (with their counts);
-* ``blocks``: term, block, n, max_tf, min_length, postings, sorted by term so that a filter
-  on terms skips row groups. A block holds about ``BLOCK`` chunks that one term weighs in
+* ``blocks``: term, block, n, max_tf, min_length, postings, each file sorted by term so that a
+  filter on terms skips its pages. A block holds at most ``BLOCK`` chunks that one term weighs in
   about alike; a common term is many blocks, on as many tasks as it needs;
 * ``dictionary``: term, df (a change of the document frequency, which may be negative);
 * ``dead``: segment, doc_id, chunk_id of earlier chunks that no longer count;
@@ -30,9 +30,13 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import counts as C
 from ..functions import text as T
 from ..sources.scratch import settle
 from . import retrieval as R
@@ -128,14 +132,23 @@ def _write(spark, path: str, before: State, fresh: DataFrame, gone: DataFrame |
     number = before.version + 1
     name = f"{number:06d}-{uuid.uuid4().hex}"
     folder, put = f"{path}/segments/{name}", lambda df, table: df.write.option("compression", "zstd").parquet(f"{path}/segments/{name}/{table}")
-    terms = F.col("terms") if "terms" in fresh.columns else T.counted(T.content_terms(F.col("text")))
+    terms = F.col("terms") if "terms" in fresh.columns else C.counted(T.content_terms(F.col("text")))
     made = fresh.select(F.lit(number).cast("long").alias("segment"), "doc_id", "chunk_id", "digest", "text", terms.alias("terms"))
     length = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"])
     put(made.select(*KEY, "digest", length.alias("length"), "text", "terms"), "chunks")
     rows = spark.read.parquet(f"{folder}/chunks")
 
-    each = rows.select(*KEY, "length", F.inline("terms"))
-    changes = [each.groupBy("term").agg(F.count("*").alias("df"))]
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int")), lambda i: F.slice("all", i * BLOCK + 1, F.lit(BLOCK)))
+    # full blocks stay alone, what is left of a term's level comes together: fewer than a block's from each batch of chunks
+    parts = _parts(rows).withColumn("part", F.when(F.size("postings") == BLOCK, F.monotonically_increasing_id()).otherwise(-1))
+    blocks = parts.groupBy("term", "level", "part").agg(F.flatten(F.collect_list("postings")).alias("all")).select("term", F.explode(cut).alias("postings"))
+    labelled = blocks.select(
+        "term", F.lit(number).cast("long").alias("segment"), F.concat_ws(".", F.lit(number), F.monotonically_increasing_id()).alias("block"), F.size("postings").cast("long").alias("n"),
+        F.array_max("postings.tf").alias("max_tf"), F.array_min("postings.length").alias("min_length"), "postings",
+    )
+    put(labelled.sortWithinPartitions("term"), "blocks")
+
+    changes = [spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("n").alias("df"))]
     count = [rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms"))]
     if gone is not None:
         put(gone, "dead")
@@ -143,28 +156,61 @@ def _write(spark, path: str, before: State, fresh: DataFrame, gone: DataFrame |
         changes.append(lost.select(F.inline("terms")).groupBy("term").agg((-F.count("*")).alias("df")))
         count.append(lost.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("terms")))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    put(union(changes).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
+    put(union(changes).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sortWithinPartitions("term"), "dictionary")
     put(union(count).agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")), "totals")
-
-    # a block: one term, about one weight, one count (so that its bound is near), and a share of its chunks by hash
-    mean = rows.agg(F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))  # one row
-    weight = F.col("tf") / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("length") / F.col("mean")))
-    leveled = settle(each.crossJoin(F.broadcast(mean)).withColumn("level", F.floor(weight * 16).cast("int") * 64 + F.least("tf", F.lit(63))).drop("mean"), "postings")
-    shares = settle(leveled.groupBy("term", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares")), "shares")
-    dealt = leveled.join(shares, ["term", "level"]).withColumn("share", F.pmod(F.xxhash64("doc_id", "chunk_id"), "shares").cast("int"))
-    blocks = dealt.groupBy("term", "level", "share").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc_id", "chunk_id", "tf", "length")).alias("postings")
-    )
-    labelled = blocks.select("term", F.lit(number).cast("long").alias("segment"), F.concat_ws(".", F.lit(number), "level", "share").alias("block"), "n", "max_tf", "min_length", "postings")
-    put(labelled.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "blocks")
     if embed:
         put(embed(rows.select("doc_id", "chunk_id", "text")).select("doc_id", "chunk_id", "embedding", F.lit(number).cast("long").alias("segment")), "vectors")
     return _commit(spark, path, State(number, [*below, name]))
 
 
+#: So many postings are sorted at once.
+SORTED = 1 << 20
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """``term, level, postings`` of ``rows(doc_id, chunk_id, length, terms)``: the postings of some chunks that one term weighs in about alike
+    and as often (so that a block's bound is near), ``BLOCK`` at most. They are sorted within a batch; no posting is a row of a shuffle."""
+    mean = rows.agg(F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0))).first()[0]
+    kinds, block = dict(rows.dtypes), BLOCK
+
+    def go(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("terms")).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORTED, "right")))
+                yield from cut(batch.slice(at, upto - at))
+                at = upto
+
+    def cut(batch: pa.RecordBatch):
+        terms = batch.column("terms")
+        flat = terms.flatten()
+        if not len(flat):
+            return
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False))
+        coded = flat.field("term").dictionary_encode()
+        word, tf = coded.indices.to_numpy(), flat.field("tf").to_numpy()
+        length = batch.column("length").to_numpy()[row]
+        level = (tf / (tf + R.K1 * (1 - R.B + R.B * length / mean)) * 16).astype(np.int32) * 64 + np.minimum(tf, 63)
+        order = np.lexsort((level, word))
+        word, level, place = word[order], level[order], np.arange(len(order))
+        new = np.r_[True, (word[1:] != word[:-1]) | (level[1:] != level[:-1])]
+        starts = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % block == 0))
+        ids = [batch.column(c).take(pa.array(row[order])) for c in ("doc_id", "chunk_id")]
+        postings = pa.StructArray.from_arrays([*ids, pa.array(tf[order]), pa.array(length[order])], ["doc_id", "chunk_id", "tf", "length"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)].astype(np.int32)), postings)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[starts])), pa.array(level[starts].astype(np.int32)), lists], ["term", "level", "postings"])
+
+    schema = f"term string, level int, postings array<struct<doc_id:{kinds['doc_id']},chunk_id:{kinds['chunk_id']},tf:int,length:bigint>>"
+    return rows.select("doc_id", "chunk_id", "length", "terms").mapInArrow(go, schema)
+
+
 def _of_terms(table: DataFrame, terms: list[str] | None, asked: DataFrame) -> DataFrame:
     """The rows of asked terms: a filter that the scan has, or a join where the terms are too many for one."""
-    return table.where(F.col("term").isin(terms)) if terms is not None else table.join(asked.select("term").distinct(), "term", "left_semi")
+    if terms == []:
+        return table.where("false")
+    # one text in place of a call for each word; a term is letters and digits
+    return table.where(f"term IN ({', '.join(f"'{t}'" for t in terms)})") if terms is not None else table.join(asked.select("term").distinct(), "term", "left_semi")
 
 
 def bounds(spark: SparkSession, path: str, queries: DataFrame, version: int | None = None) -> tuple[DataFrame, DataFrame, list[str] | None] | None:
@@ -180,10 +226,10 @@ def bounds(spark: SparkSession, path: str, queries: DataFrame, version: int | No
     df = _of_terms(dictionary, terms, asked).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     whole = totals.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("mean")).select("n", F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0)).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = settle(asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "mean"), "weighed")
+    weighed = settle(asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", "df", "n", idf.alias("idf"), "mean"), "weighed")
     heads = _of_terms(blocks, terms, asked).select("term", "block", "n", "max_tf", "min_length")
     most = _gain(F.col("max_tf"), F.col("min_length")).alias("most")
-    return weighed, settle(weighed.join(heads, "term").select("query_id", "term", "block", "n", most), "bounds"), terms
+    return weighed, settle(weighed.drop("n").join(heads, "term").select("query_id", "term", "block", "n", most), "bounds"), terms
 
 
 def _gain(tf: Column, length: Column) -> Column:
@@ -200,29 +246,26 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, versi
     at = state(spark, path, version)
     blocks, dead = _of_terms(_table(spark, path, at, "blocks"), terms, weighed), _table(spark, path, at, "dead")
 
+    whole = weighed.select("n", "mean").first() or (0, 1.0)
+    asked = weighed.select("query_id", "term", F.col("term").alias("stem"))
+    weights = weighed.select(F.col("term").alias("word"), F.col("term").alias("stem"), "df").distinct()
+
     def scored(opened: DataFrame) -> DataFrame:
-        """Sums over the postings of ``opened(query_id, term, block)``."""
-        hits = blocks.join(opened, ["term", "block"]).select("query_id", "term", "segment", F.inline("postings"))
-        by_term = weighed.select("query_id", "term", "idf", "mean")
-        gained = _alive(hits, dead).join(by_term, ["query_id", "term"]).withColumn("gain", _gain(F.col("tf"), F.col("length")))
-        return gained.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum("gain").alias("full")).where("full > 0")
+        """The best chunks of each query by the postings of ``opened(term, block)``, which come together by chunk, once for all queries."""
+        hits = blocks.join(opened.select("term", "block").distinct(), ["term", "block"], "left_semi").select("term", "segment", F.inline("postings"))
+        held = _alive(hits, dead).groupBy("doc_id", "chunk_id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
+        return R.leading(held, asked, weights, *whole, k, ["doc_id", "chunk_id"]).withColumn("place", F.struct("doc_id", "chunk_id"))
 
     best = settle(known.groupBy("query_id", "term").agg(F.max("most").alias("top")), "best")
     # of each term the best blocks that hold k chunks together
     ahead = Window.partitionBy("query_id", "term").orderBy(F.desc("most"), "block").rowsBetween(Window.unboundedPreceding, -1)
     first = known.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < k)
-    sure = R.top(scored(first.select("query_id", "term", "block")), k, score="full", tie="chunk_id")
-    floor = sure.groupBy("query_id").agg(F.min("full").alias("floor"), F.count("*").alias("found")).where(F.col("found") == k).select("query_id", "floor")
+    sure = R.top(scored(first), k, tie="place")
+    floor = sure.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found")).where(F.col("found") == k).select("query_id", "floor")
     total = best.groupBy("query_id").agg(F.sum("top").alias("total"))
     reach = known.join(best.select("query_id", "term", "top"), ["query_id", "term"]).join(total, "query_id").join(floor, "query_id", "left")
     opened = settle(reach.where(F.col("most") + F.col("total") - F.col("top") >= F.coalesce("floor", F.lit(0.0)) - 1e-6).select("query_id", "term", "block"), "opened")
-    return _ranked(scored(opened), k)
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    place = F.struct("doc_id", "chunk_id")
-    near = found.withColumns({"near": F.round("full", R.TIES), "place": place})
-    return R.top(near, k, score="near", tie="place").select("query_id", "doc_id", "chunk_id", F.round("full", 6).alias("score"), "rank")
+    return R.top(scored(opened), k, tie="place").select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def retrieve(spark: SparkSession, path: str, queries: DataFrame, asked: DataFrame | None = None, k: int = 4, version: int | None = None) -> DataFrame | None:

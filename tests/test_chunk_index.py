@@ -146,3 +146,15 @@ def test_empty_and_odd(spark):
     assert said == {1: "term3", 2: None}
     build(spark, [(1, 0, "term3")], folder)
     assert [(r["doc_id"], r["rank"]) for r in X.search(spark, folder, queries).collect()] == [(1, 1)]
+
+
+def test_blocks_hold_each_posting_once_and_no_more_than_their_size(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 4)
+    monkeypatch.setattr(X, "SORTED", 50)
+    folder, rows = shared(spark, "x"), made(7, 60) + [(i, 9, "term1 term2") for i in range(500, 540)]
+    build(spark, rows, folder)
+    blocks = spark.read.parquet(f"{folder}/segments/{X.state(spark, folder).segments[0]}/blocks").collect()
+    assert max(r["n"] for r in blocks) == 4 and all(r["n"] == len(r["postings"]) and r["max_tf"] == max(p["tf"] for p in r["postings"]) and r["min_length"] == min(p["length"] for p in r["postings"]) for r in blocks)
+    assert len({(r["term"], r["block"]) for r in blocks}) == len(blocks)
+    got = sorted((r["term"], p["doc_id"], p["chunk_id"], p["tf"]) for r in blocks for p in r["postings"])
+    assert got == sorted((t, d, c, n) for d, c, text in rows for t, n in Counter(terms(text)).items())
