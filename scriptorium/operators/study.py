@@ -87,9 +87,11 @@ def question_bank(docs: DataFrame, most: int = 16) -> DataFrame:
     from ..sources.tables import pages
 
     order = Window.partitionBy("doc_id").orderBy("page", "sent_idx")
-    split = pages(docs).select("doc_id", "page", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_idx", "text"))
-    s = split.withColumn("after", F.lead("text").over(Window.partitionBy("doc_id", "page").orderBy("sent_idx")))
-    acronym, subject = F.regexp_extract("text", W.SPELLED_OUT, 1), F.regexp_extract("text", W.SUBJECT, 1)
+    # a sentence gets the next one within its page's row: only questions are shuffled
+    beside = T.let(T.split_sentences(F.col("text")), lambda all_: F.transform(all_, lambda x, i: F.struct(x.alias("text"), F.get(all_, i + 1).alias("after"))))
+    s = pages(docs).select("doc_id", "page", F.posexplode(beside).alias("sent_idx", "s")).select("doc_id", "page", "sent_idx", "s.text", "s.after")
+    acronym = F.when(F.contains(F.col("text"), F.lit("stands for")), F.regexp_extract("text", W.SPELLED_OUT, 1)).otherwise("")  # most sentences are spared the search
+    subject = F.regexp_extract("text", W.SUBJECT, 1)
     lister, rest, purpose = F.regexp_extract("text", W.LIST, 1), F.regexp_extract("text", W.LIST, 2), F.regexp_extract("text", W.PURPOSE, 1)
     strong = lambda c: (F.length(c) > 3) & ~c.rlike(W.WEAK_SUBJECT)
     listed = strong(lister) & F.contains(rest, F.lit(",")) & F.size(T.list_items(rest)).between(3, 8)

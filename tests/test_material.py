@@ -64,3 +64,23 @@ def test_sentences_are_scored_within_their_document(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Window" not in plan and plan.count("[-•*▪●]\\s)") == 1
         assert {r["doc_id"] for r in df.collect()} == {1}
+
+
+def test_pages_are_parsed_part_by_part(spark, monkeypatch):
+    from scriptorium.functions import markdown as M
+
+    monkeypatch.setattr(M, "PARSED", 40)
+    texts = [None, "", "Some Heading\nwords of a paragraph.", "x = 1;\ny = 2;\n\nSay what it is.", "One line. " * 30, "é" * 50] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).selectExpr("doc_id", "0 AS page", "text")
+    got = sorted((r["doc_id"], r["block"], r["type"], r["lang"], r["text"]) for r in M.structure(rows).collect())
+    assert got == sorted((d, i, b[0], b[2], b[3]) for d, t in enumerate(texts) for i, b in enumerate(M.page_blocks(t)))
+
+
+def test_only_questions_are_shuffled(spark, capsys):
+    from scriptorium.operators import study
+
+    docs = spark.createDataFrame([(1, "A cache is a small fast memory of it. It keeps what was read. ROM stands for read only memory."), (2, None)], "doc_id long, text string")
+    bank = study.question_bank(docs)
+    assert sorted((r["type"], r["answer"]) for r in bank.collect()) == [("Definition", "A cache is a small fast memory of it. It keeps what was read."), ("Full form", "ROM stands for read only memory.")]
+    bank.explain()
+    assert "lead(" not in capsys.readouterr().out
