@@ -59,3 +59,8 @@ def shuffles(df):
 def test_terms_of_a_document_are_found_within_its_row(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A stack is a structure that holds frames. Frames hold the stack of calls.").alias("text"))
     assert shuffles(study.quiz_terms(docs)) == 0 and study.quiz_terms(docs).count() > 0
+
+
+def test_cards_of_a_document_are_picked_within_its_row(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A stack is a structure that holds frames. Frames hold the stack of calls.").alias("text"))
+    assert shuffles(study.term_cards(docs)) == 0 and study.term_cards(docs).count() > 0
