@@ -64,3 +64,9 @@ def test_terms_of_a_document_are_found_within_its_row(spark):
 def test_cards_of_a_document_are_picked_within_its_row(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A stack is a structure that holds frames. Frames hold the stack of calls.").alias("text"))
     assert shuffles(study.term_cards(docs)) == 0 and study.term_cards(docs).count() > 0
+
+
+def test_sets_of_a_document_are_dealt_within_its_row(spark):
+    text = "A stack frame is a structure that holds calls. A binary tree holds the frames of a hash table. A hash table and a weighted graph hold a stack frame. A weighted graph is a binary tree of calls."
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    assert shuffles(study.quiz_sets(docs)) == 0 and study.quiz_sets(docs).count() > 0
