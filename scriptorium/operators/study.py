@@ -80,22 +80,28 @@ def important(rows: DataFrame, by: str, weight: str, tie: str, share: float = 0.
     return rows.withColumn("important", rank <= F.greatest(F.lit(1), T.js_round(F.count("*").over(per) * F.lit(share))))
 
 
+def could_ask(sentence: str) -> bool:
+    """A sentence that one of the bank's patterns may fit."""
+    return "stands for" in sentence or any(Z.fit(sentence, p).match(sentence) for p in (W.SUBJECT, W.LIST, W.PURPOSE))
+
+
 def _could_ask(page: str | None) -> list[tuple[int, str, str | None]]:
     """``sent_idx, text, after``: the sentences of a page that one of the bank's patterns fits, each with the next one."""
     said = Z.sentences(page)
-    fits = lambda x: "stands for" in x or any(Z.fit(x, p).match(x) for p in (W.SUBJECT, W.LIST, W.PURPOSE))
-    return [(i, x, said[i + 1] if i + 1 < len(said) else None) for i, x in enumerate(said) if fits(x)]
+    return [(i, x, said[i + 1] if i + 1 < len(said) else None) for i, x in enumerate(said) if could_ask(x)]
 
 
-def question_bank(docs: DataFrame, most: int = 16) -> DataFrame:
+def question_bank(docs: DataFrame, most: int = 16, asks: DataFrame | None = None) -> DataFrame:
     """``doc_id, n, type, question, answer, weight, important``: two-mark questions from a
     document's own sentences, in reading order. A sentence gives the first kind that fits:
-    a spelled-out acronym, a list, a definition (with the next sentence of its page), a purpose."""
+    a spelled-out acronym, a list, a definition (with the next sentence of its page), a purpose.
+    ``asks(doc_id, page, sent_idx, text, after)``: the sentences that may be asked, if they are known."""
     from ..sources.tables import pages
 
     order = Window.partitionBy("doc_id").orderBy("page", "sent_idx")
     # a sentence gets the next one within its page's row: only questions are shuffled
-    s = pages(docs).select("doc_id", "page", rows(_could_ask, "array<struct<sent_idx:int,text:string,after:string>>", "text").alias("s")).select("doc_id", "page", F.inline_outer("s")).where("sent_idx IS NOT NULL")
+    found = pages(docs).select("doc_id", "page", rows(_could_ask, "array<struct<sent_idx:int,text:string,after:string>>", "text").alias("s"))
+    s = found.select("doc_id", "page", F.inline_outer("s")).where("sent_idx IS NOT NULL") if asks is None else asks
     acronym = F.when(F.contains(F.col("text"), F.lit("stands for")), F.regexp_extract("text", W.SPELLED_OUT, 1)).otherwise("")  # most sentences are spared the search
     subject = F.regexp_extract("text", W.SUBJECT, 1)
     lister, rest, purpose = F.regexp_extract("text", W.LIST, 1), F.regexp_extract("text", W.LIST, 2), F.regexp_extract("text", W.PURPOSE, 1)
